@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import langid, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
+        "op3_langid": langid.op3,
         "op7_simhash": simhash.op7,
         "op10_mixing": mixing.op10,
     }
