@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, sharding, simhash
+from . import langid, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
         "op3_langid": langid.op3,
+        "op6_quality": quality.op6,
         "op7_simhash": simhash.op7,
         "op10_mixing": mixing.op10,
     }
