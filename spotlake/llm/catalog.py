@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, mixing, quality, sharding, simhash
+from . import decontaminate, fingerprint, langid, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
         "op3_langid": langid.op3,
+        "op4_decontaminate": decontaminate.op4,
         "op5_fingerprint": fingerprint.op5,
         "op6_quality": quality.op6,
         "op7_simhash": simhash.op7,
