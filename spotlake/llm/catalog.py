@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, quality, sharding, simhash
+from . import decontaminate, fingerprint, langid, mixing, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_fingerprint": fingerprint.op5,
         "op6_quality": quality.op6,
         "op7_simhash": simhash.op7,
+        "op8_pii": pii.op8,
         "op10_mixing": mixing.op10,
     }
 
