@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, pii, quality, sharding, simhash
+from . import decontaminate, fingerprint, langid, languagemodel, mixing, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1,
+        "op2_languagemodel": languagemodel.op2,
         "op3_langid": langid.op3,
         "op4_decontaminate": decontaminate.op4,
         "op5_fingerprint": fingerprint.op5,
