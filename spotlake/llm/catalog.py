@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, languagemodel, mixing, pii, quality, sharding, simhash
+from . import decontaminate, fingerprint, langid, languagemodel, mixing, pii, quality, sharding, simhash, urls
 
 
 def queries() -> dict:
@@ -15,9 +15,10 @@ def queries() -> dict:
         "op6_quality": quality.op6,
         "op7_simhash": simhash.op7,
         "op8_pii": pii.op8,
+        "op9_urls": urls.op9,
         "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_urls": urls.duckdb_sql()}

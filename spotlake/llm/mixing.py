@@ -108,6 +108,15 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     return out.select(F.col("r.__id").alias(key), F.col("r.source").alias("source"), F.col("r.size").alias("size"), "q.source_size", "q.target", "q.rate", copies.alias("copies"), *[F.col(f"r.__x_{c}").alias(c) for c in keep])
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """docs with every row as often as the mix takes it; columns as they come."""
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    held = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), F.col("source").alias("s"), row.alias("row"))
+    out = mix(held, weights, share, "k", "t", "s", ["row"])
+    out = out.where("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "row")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
     out = mix(table(spark, sf_dir, "documents"))
