@@ -10,8 +10,8 @@ item to the best stretch of the words around.  At the very threshold the repeats
 it), and nearer ones nearly always.
 
 A window is not embedded if it has fewer words, or runs of three words, of the benchmark than any leak must have: k edits leave
-L - k words and, by the q-gram lemma, L - 2 - 3k runs in place, so this drops no leak.  The benchmark's words, its runs and the
-items' keys are broadcast as bitmaps of fixed size; hits in them by chance only cost time.
+L - k words and, by the q-gram lemma, L - 2 - 3k runs in place, so this drops no leak.  The benchmark's words, its runs (with
+the sizes of the items that have them) and the items' keys are broadcast as tables of fixed size; chance hits only cost time.
 
 Defined cases: null and empty texts leak nothing, items without a word are found nowhere; equal texts get equal hits; a null id is carried like
 any other; ids that repeat share their hits; an empty table gives no rows.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .shared import cut, table, tune
 SIMILARITY = 0.8
 REPEATS = 24
 SAMPLES = 2
-#: Bits of the broadcast bitmaps of words and of keys.
-WORD_BITS, KEY_BITS = 23, 25
+#: Bits of the broadcast tables of words, of keys and of runs.
+WORD_BITS, KEY_BITS, RUN_BITS = 23, 25, 20
 #: Windows embedded at a time.
 FLUSH = 16_384
 _U = np.uint64
@@ -89,6 +90,25 @@ def runs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-2] * _U(0x9E3779B97F4A7C15) + h[1:-1] * _U(0xC2B2AE3D27D4EB4F) + h[2:])
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & _U((1 << RUN_BITS) - 1)).astype(np.int64)
+
+
+def _starts(at: np.ndarray, need: int, size: int, doc: np.ndarray, first: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where windows of `size` words begin that hold at least `need` of the runs at the ascending places `at`.
+
+    A window stays within its text: it is moved back from the text's end, and covers a shorter text whole.
+    """
+    a, z = at[: max(0, len(at) - need + 1)], at[need - 1 :]
+    ok = (z - a <= size - 3) & (doc[a] == doc[z])
+    a, z = a[ok], z[ok]
+    low = z - (size - 3)
+    n = a - low + 1
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    t = np.repeat(doc[a], n)
+    return np.unique(np.maximum(np.minimum(at, first[t] + m[t] - size), first[t]))
+
+
 def _item_words(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """(item, words) of every item with a word."""
 
@@ -146,18 +166,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "
     sc = docs.sparkSession.sparkContext
     vocabulary = sc.broadcast(_bitmap(items.select(F.explode("words").alias("w")), "w", WORD_BITS))
     held = sc.broadcast(_bitmap(indexed, "key", KEY_BITS))
+    place = {L: i % 64 for i, L in enumerate(sizes)}
+
     def triple(batches):
+        """Which sizes of items have a run, by the run's slot."""
         for b in batches:
-            got = [runs(np.array(x, np.int64).view(_U)) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *got]).view(np.int64))], names=["w"])
-
-    triples = sc.broadcast(_bitmap(items.select("words").mapInArrow(triple, "w long"), "w", WORD_BITS))
+            rows = [np.array(x, np.int64).view(_U) for x in b.column(0).to_pylist()]
+            slot = np.concatenate([np.zeros(0, np.int32), *[_slot(runs(x)) for x in rows]])
+            mask = np.concatenate([np.zeros(0, _U), *[np.full(max(0, len(x) - 2), 1 << place[len(x)], _U) for x in rows]])
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(mask.view(np.int64))], names=["slot", "mask"])
+
+    got = items.select("words").mapInArrow(triple, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros(1 << RUN_BITS, _U)
+    masks[got.column("slot").to_numpy()] = got.column("mask").to_numpy().view(_U)
+    masks = sc.broadcast(masks)
     k_of = {int(L): int(allowed(L, similarity)) for L in sizes}
     names = [f"c{i}" for i in range(len(carry))]
     fields = [docs.schema[c].dataType for c in carry]
 
     def windows(batches):
-        vocab, three, known = vocabulary.value, triples.value, held.value
+        vocab, three, known = vocabulary.value, masks.value, held.value
         waiting: list[tuple] = []
 
         def flush():
@@ -168,15 +196,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "
                 w = np.concatenate([w, np.full((len(w), int(size.max()) - w.shape[1]), _PAD)], axis=1)
             k = keys(w, size)
             hit = _in(known, k.ravel(), KEY_BITS).reshape(k.shape)
-            keep = np.flatnonzero(hit.any(axis=1))
-            cols = [pa.array([waiting[i][0][c] for i in keep]) for c in range(len(names))]
-            cols = [c.cast(t) for c, t in zip(cols, kinds)]
-            lists = pa.array([k[i][hit[i]].view(np.int64).tolist() for i in keep], pa.list_(pa.int64()))
-            around = pa.array([waiting[i][3].view(np.int64).tolist() for i in keep], pa.list_(pa.int64()))
-            first, begin = (pa.array([waiting[i][c] for i in keep], pa.int64()) for c in (4, 5))
+            # windows that begin close together share one row: their keys and the words around them all
+            rows: dict[tuple, tuple] = {}
+            for i in np.flatnonzero(hit.any(axis=1)):
+                own, L, _, around, at, begin, serial = waiting[i]
+                rows.setdefault((serial, L, at), (own, around, begin, []))[3].append(k[i][hit[i]])
             waiting.clear()
-            return pa.RecordBatch.from_arrays([*cols, first, begin, lists, around], names=[*names, "bin", "begin", "keys", "around"])
-
+            got = list(rows.values())
+            cols = [pa.array([r[0][c] for r in got], kinds[c]) for c in range(len(names))]
+            lists = pa.array([np.unique(np.concatenate(r[3])).view(np.int64).tolist() for r in got], pa.list_(pa.int64()))
+            around = pa.array([r[1].view(np.int64).tolist() for r in got], pa.list_(pa.int64()))
+            number = pa.array([f"{part}-{serial}-{L}-{at}-{made}" for serial, L, at in rows], pa.string())
+            return pa.RecordBatch.from_arrays([*cols, number, pa.array([r[2] for r in got], pa.int64()), lists, around], names=[*names, "row", "begin", "keys", "around"])
+
+        part, made, read = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             kinds = [b.column(i).type for i in range(len(names))]
             own = list(zip(*[b.column(i).to_pylist() for i in range(len(names))]))
@@ -186,35 +219,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "
                 h = span_hash(d, s, e)
                 m, first = counts_by(doc, len(o) - 1)
                 total = np.concatenate([[0], np.cumsum(_in(vocab, h, WORD_BITS))]).astype(np.int32)
-                whole = np.zeros(len(h), bool)
-                whole[: max(0, len(h) - 2)] = _in(three, runs(h), WORD_BITS) & (doc[:-2] == doc[2:])
-                trios = np.concatenate([[0], np.cumsum(whole)]).astype(np.int32)
+                of = np.zeros(len(h), _U)
+                if len(h) > 2:
+                    of[:-2] = np.where(doc[:-2] == doc[2:], three[_slot(runs(h))], _U(0))
+                some = np.flatnonzero(of)
                 for L in sizes:
                     k = k_of[L]
-                    enough = np.zeros(0, np.int64)
-                    if len(h) >= L:
-                        most = max(0, L - 2)
-                        enough = np.flatnonzero(trios[most : len(h) - L + most + 1] - trios[: len(h) - L + 1] >= L - 2 - 3 * k)
-                        enough = enough[total[enough + L] - total[enough] >= L - k]
+                    need = L - 2 - 3 * k
+                    if need > 0:
+                        at = some[(of[some] >> _U(place[L])) & _U(1) == 1]
+                        enough = _starts(at, need, L, doc, first, m)
+                        enough = enough[total[np.minimum(enough + L, (first + m)[doc[enough]])] - total[enough] >= L - k]
+                    else:
+                        enough = np.flatnonzero(total[L:] - total[:-L] >= L - k) if len(h) >= L else np.zeros(0, np.int64)
                         enough = enough[doc[enough] == doc[enough + L - 1]]
-                    small = np.flatnonzero((m < L) & (m >= L - k) & (m > 0))
-                    small = small[trios[first[small] + m[small]] - trios[first[small]] >= L - 2 - 3 * k]
-                    small = small[total[first[small] + m[small]] - total[first[small]] >= L - k]
-                    for i, t in [*((i, doc[i]) for i in enough), *((first[t], t) for t in small)]:
-                        a, z = first[t], first[t] + m[t]
-                        x, y = max(a, i - 2 * k - 1), min(z, i + L + 3 * k + 1)
-                        waiting.append((own[lo + t], L, h[i : min(z, i + L)], h[x:y], int((i - a) // (k + 1)), int(x - a)))
+                        small = np.flatnonzero((m < L) & (m >= L - k) & (m > 0))
+                        small = small[total[first[small] + m[small]] - total[first[small]] >= L - k]
+                        enough = np.unique(np.concatenate([enough, first[small]]))
+                    for i, t in zip(enough.tolist(), doc[enough].tolist()):
+                        a, z = int(first[t]), int(first[t] + m[t])
+                        at = (i - a) // (k + 1)
+                        x, y = max(a, a + at * (k + 1) - 2 * k - 1), min(z, a + at * (k + 1) + L + 4 * k + 1)
+                        waiting.append((own[lo + t], L, h[i : min(z, i + L)].copy(), h[x:y].copy(), at, x - a, read + lo + t))
                         if len(waiting) >= FLUSH:
                             yield flush()
-            if waiting:
-                yield flush()
+                            made += 1
+            read += len(own)
+        if waiting:
+            yield flush()
 
     head = "".join(f"{n} {t.simpleString()}, " for n, t in zip(names, fields))
-    found = docs.select(*carry, text).mapInArrow(windows, f"{head}bin long, begin long, keys array<long>, around array<long>")
-    # of the windows that lie close together one is verified, with the words on both sides
-    met = found.withColumn("key", F.explode("keys")).drop("keys").join(indexed, "key")
-    met = met.groupBy(*names, "item", F.size("words").alias("n_words"), "bin").agg(F.min_by(F.struct("begin", "around", "words"), "begin").alias("s"))
-    met = met.select(*names, "item", "n_words", "s.begin", "s.around", "s.words")
+    found = cut(docs.select(*carry, text).mapInArrow(windows, f"{head}row string, begin long, keys array<long>, around array<long>"))
+    # keys meet in narrow rows; the words join what has met
+    met = found.select("row", F.explode("keys").alias("key")).join(indexed.select("key", "item"), "key").select("row", "item").distinct()
+    met = met.join(found.drop("keys"), "row").join(items, met["item"].eqNullSafe(items["item"])).drop(items["item"])
+    met = met.select(*names, "item", F.size("words").alias("n_words"), "begin", "around", "words")
 
     def verify(batches):
         for b in batches:
