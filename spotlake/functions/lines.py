@@ -52,9 +52,12 @@ def comment_and_time(rest: Column) -> tuple[Column, Column]:
     return F.nullif(_trim(_left(rest, cut)), F.lit("")), time
 
 
-def skimmer_fields(comment: Column) -> Column:
-    """Signal, speed, CQ and mode of a comment; null without a comment."""
-    t = F.split(_trim(comment), "(?U)\\s+")
+def tokens(comment: Column) -> Column:
+    return F.split(_trim(comment), "(?U)\\s+")
+
+
+def skimmer_fields(t: Column) -> Column:
+    """Signal, speed, CQ and mode of a comment's tokens; null without a comment."""
     places = F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1)))
 
     def last(unit: str, number: str, kind: str, lo: int, hi: int) -> Column:
@@ -63,7 +66,7 @@ def skimmer_fields(comment: Column) -> Column:
         return F.try_element_at(F.filter(F.transform(places, fits), lambda x: x.between(lo, hi)), F.lit(-1)).cast(kind)
 
     snr, wpm = last("db", "^[+-]?[0-9]+$", "tinyint", -128, 127), last("wpm", "^[+]?[0-9]+$", "int", 0, 65535)
-    return F.when(comment.isNotNull(), F.struct(snr.alias("snr_db"), wpm.alias("wpm"), F.exists(t, lambda x: x.rlike("^(?i:cq)$")).alias("is_cq"), mode_token(F.try_element_at(t, F.lit(1))).alias("mode")))
+    return F.when(t.isNotNull(), F.struct(snr.alias("snr_db"), wpm.alias("wpm"), F.exists(t, lambda x: x.rlike("^(?i:cq)$")).alias("is_cq"), mode_token(F.try_element_at(t, F.lit(1))).alias("mode")))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -90,6 +93,7 @@ def parse_lines(df: DataFrame, value: str = "value") -> DataFrame:
     df = _once(df, _spot=spot, _tail=F.when(spot, tail))
     comment, minute = comment_and_time(F.col("_tail"))
     df = _once(df, comment=comment, utc_minute=minute)
+    df = _once(df, _tokens=tokens(F.col("comment")))
     low, text = F.lower("text"), F.col("text")
     prompt = F.contains(low, F.lit("login:")) | F.contains(low, F.lit("call:")) | F.contains(low, F.lit("callsign:")) | F.contains(low, F.lit("please enter your call")) | F.contains(low, F.lit("password:")) | (text.endswith(">") & (F.octet_length(text) < 30))
     kind = (
@@ -100,8 +104,8 @@ def parse_lines(df: DataFrame, value: str = "value") -> DataFrame:
         .otherwise("Unknown")
     )
     pick = lambda c: F.when(F.col("_spot"), F.col(c))
-    df = _once(df, kind=kind, spotter_call=pick("_spotter"), dx_call=pick("_dx"), freq_hz=pick("_hz"), skimmer_fields=skimmer_fields(F.col("comment")))
-    return df.drop("_spotter", "_rest", "_number", "_hz", "_dx", "_spot", "_tail")
+    df = _once(df, kind=kind, spotter_call=pick("_spotter"), dx_call=pick("_dx"), freq_hz=pick("_hz"), skimmer_fields=skimmer_fields(F.col("_tokens")))
+    return df.drop("_spotter", "_rest", "_number", "_hz", "_dx", "_spot", "_tail", "_tokens")
 
 
 def originator(spotter: Column, policy: Column) -> Column:
