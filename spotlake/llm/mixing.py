@@ -37,6 +37,11 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _named(source: Column) -> Column:
+    """The source as a key that is never null: windows and joins on it agree on one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def targets(totals: DataFrame, weights: Sequence[float], share: float, most: float = MOST) -> DataFrame:
     """totals(source, source_size) with each source's weight and target.
 
@@ -98,11 +103,12 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     part, plan = part.alias("p"), plan.alias("q")
     quota = part.join(plan, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.size") == F.col("q.size"))).select("p.source", "p.size", "p.__b", "p.first", "q.n", "q.copies")
     quota, t = quota.alias("q"), totals.alias("t")
-    quota = quota.join(t, F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.target", "t.rate")
-    rows = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(fold)).cast("int"))
-    rank = F.row_number().over(W.partitionBy("source", "size", "__b").orderBy("__h", "__id")) - 1
+    quota = quota.join(t, F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.target", "t.rate", _named(F.col("q.source")).alias("__s"))
+    # rows are shuffled once: the ranks and the join with the quotas share the key
+    rows = rows.withColumns({"__b": F.pmod(F.col("__h"), F.lit(fold)).cast("int"), "__s": _named(F.col("source"))})
+    rank = F.row_number().over(W.partitionBy("__s", "size", "__b").orderBy("__h", "__id")) - 1
     r, q = rows.withColumn("__r", rank).alias("r"), quota.alias("q")
-    out = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.size") == F.col("q.size")) & (F.col("r.__b") == F.col("q.__b")))
+    out = r.join(q, (F.col("r.__s") == F.col("q.__s")) & (F.col("r.size") == F.col("q.size")) & (F.col("r.__b") == F.col("q.__b")))
     extra = F.when(F.col("q.first") + F.col("r.__r") < F.pmod(F.col("q.copies"), F.col("q.n")), 1).otherwise(0)
     copies = F.floor(F.col("q.copies") / F.col("q.n")).cast("long") + extra
     return out.select(F.col("r.__id").alias(key), F.col("r.source").alias("source"), F.col("r.size").alias("size"), "q.source_size", "q.target", "q.rate", copies.alias("copies"), *[F.col(f"r.__x_{c}").alias(c) for c in keep])
