@@ -229,6 +229,8 @@ def dedup_components(df: DataFrame, k: int = 3, r: int = 3, key: str = "doc_id",
 WIDE_RADIUS = 31
 #: Rows of one block of a band; a larger band is compared block by block.
 BLOCK = 16_384
+#: Narrow rows without their shingles are dealt finer: blocks of this many rows, for as long as a band has no more than so many.
+FINE, FINE_BLOCKS = 2_048, 8
 
 
 def wide(df: DataFrame, k: int, text: str) -> DataFrame:
@@ -257,7 +259,7 @@ def wide(df: DataFrame, k: int, text: str) -> DataFrame:
     return df.select(*others, text).mapInArrow(run, f"{head}, f0 long, f1 long, n long, sh binary")
 
 
-def _cells(rows: DataFrame, similarity: float) -> DataFrame:
+def _cells(rows: DataFrame, similarity: float, fine: bool = False) -> DataFrame:
     """rows with the cells (band, i, j) where they meet every row whose shingle count allows the similarity.
 
     A pair that is similar enough has counts within that ratio, so it lies in one band or two adjoining ones; a row is in its own
@@ -266,7 +268,7 @@ def _cells(rows: DataFrame, similarity: float) -> DataFrame:
     width = -math.log(similarity)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
-    blocks = {b: -(-c // BLOCK) for b, c in rows.groupBy("band").count().collect()}
+    blocks = {b: max(-(-c // BLOCK), min(FINE_BLOCKS, -(-c // FINE)) if fine else 1) for b, c in rows.groupBy("band").count().collect()}
     count = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv]), F.col("band")), F.lit(1)) if blocks else F.lit(1)
     rows = rows.withColumn("g", count).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))))
@@ -306,7 +308,7 @@ def near_groups(texts: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
         on = root != np.arange(len(x))
         return pd.DataFrame({"a": ids[on], "b": ids[root[on]]})
 
-    slim = _cells(rows.select("id", "f0", "f1", "n").where("n > 0"), similarity)
+    slim = _cells(rows.select("id", "f0", "f1", "n").where("n > 0"), similarity, fine=True)
     found = cut(slim.groupBy("band", "i", "j").applyInPandas(candidates, "id long").distinct())
     some = rows.where("n > 0").join(found, "id")
     return components(_cells(some, similarity).groupBy("band", "i", "j").applyInPandas(verify, "a long, b long"))
