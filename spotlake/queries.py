@@ -250,18 +250,35 @@ def _live(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GEO = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("ALGERIA",), cq_zone_allow=(0, 1, 2))))
+_RESOLVERS = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("ALGERIA",)), require_resolvers=True))
 _MEMBERS = FilterConfig(enrichment=Enrichment(lotw="RequireTrue", membership=(Membership("Deny", "club2"),)))
+_OPEN = FilterConfig(unknown_policy="FailOpen", enrichment=Enrichment(membership=(Membership("Require", "club0"),)))
+_CLOSED = FilterConfig(unknown_policy="FailClosed", enrichment=Enrichment(in_master_db="RequireFalse"))
 
 
-def _geo(spark: SparkSession, sf: str) -> DataFrame:
-    rows = observations.keyed(obs(spark, sf))
-    rows = observations.view(lookup.with_geo(rows, entities(spark, sf), "dx_call_norm", "dx_geo"))
-    return rows.groupBy(F.coalesce(drop_reason(_GEO), F.lit("Allow")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+def _decisions(rows: DataFrame, rules: FilterConfig) -> DataFrame:
+    return rows.groupBy(F.coalesce(drop_reason(rules), F.lit("Allow")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _geo(rules: FilterConfig) -> Query:
+    def run(spark, sf):
+        rows = observations.keyed(obs(spark, sf))
+        return _decisions(observations.view(lookup.with_geo(rows, entities(spark, sf), "dx_call_norm", "dx_geo")), rules)
+
+    return run
+
+
+def _members(rules: FilterConfig) -> Query:
+    def run(spark, sf):
+        return _decisions(observations.view(lookup.enrich(observations.keyed(obs(spark, sf)), enrichment(spark, sf))), rules)
+
+    return run
 
 
-def _members(spark: SparkSession, sf: str) -> DataFrame:
-    rows = observations.view(lookup.enrich(observations.keyed(obs(spark, sf)), enrichment(spark, sf)))
-    return rows.groupBy(F.coalesce(drop_reason(_MEMBERS), F.lit("Allow")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+def _aged(spark: SparkSession, sf: str) -> DataFrame:
+    """Spots last seen up to 2,000 s ago."""
+    rows = observations.keyed(obs(spark, sf)).withColumns({"now_us": F.col("t_us"), "last_seen_us": F.col("t_us") - F.pmod(F.col("seq"), F.lit(2000)) * 1_000_000})
+    return _decisions(observations.view(rows), FilterConfig())
 
 
 def _correlated(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,8 +301,12 @@ def table() -> dict[str, tuple[Query, str | None]]:
         "S09_fan_in": (lambda s, d: observations.fan_in(obs(s, d).where("source_id = 'src0'"), obs(s, d).where("source_id = 'src1'")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")), f"select source_id, count(*) as n from ({OBS}) o where source_id in ('src0', 'src1') group by source_id"),
         "S12_json": (lambda s, d: json_lines(entry(s, d).select("dx_call_norm", "band", "n")), f"select '{{\"dx_call_norm\":\"' || dx_call_norm || '\",\"band\":\"' || band || '\",\"n\":' || count(*) || '}}' as value from ({KEYED}) k group by {keys}"),
         "F15_correlation": (_correlated, f"select decision, count(*) as n from (select case when unique_originators < 2 or unique_sources < 2 or total_observations < 3 then 'CorrelationNotMet' else 'Allow' end as decision from ({RUNNING}) r) x group by decision"),
-        "F18_entity_rules": (_geo, f"select decision, count(*) as n from (select case when cq_zone is null then 'UnknownFieldFailed' when cq_zone not in (0, 1, 2) then 'GeoNotMet' when entity = 'ALGERIA' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
-        "F19_enrichment_rules": (_members, f"select decision, count(*) as n from (select case when lotw is null then 'UnknownFieldFailed' when not lotw then 'EnrichmentNotMet' when club is null then 'UnknownFieldFailed' when club = 'club2' then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
+        "F18_entity_rules": (_geo(_GEO), f"select decision, count(*) as n from (select case when cq_zone is null then 'UnknownFieldFailed' when cq_zone not in (0, 1, 2) then 'GeoNotMet' when entity = 'ALGERIA' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
+        "F19_enrichment_rules": (_members(_MEMBERS), f"select decision, count(*) as n from (select case when lotw is null then 'UnknownFieldFailed' when not lotw then 'EnrichmentNotMet' when club is null then 'UnknownFieldFailed' when club = 'club2' then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
+        "F01_age": (_aged, f"select decision, count(*) as n from (select case when seq % 2000 > 900 then 'TooOld' else 'Allow' end as decision from ({KEYED}) k) x group by decision"),
+        "F17_resolvers": (_geo(_RESOLVERS), f"select decision, count(*) as n from (select case when entity is null then 'UnknownFieldFailed' when entity = 'ALGERIA' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
+        "F20_membership_open": (_members(_OPEN), f"select decision, count(*) as n from (select case when club <> 'club0' then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
+        "F21_unknown_closed": (_members(_CLOSED), f"select decision, count(*) as n from (select case when in_master_db is null then 'UnknownFieldFailed' when in_master_db then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
         "J03_longest_prefix": (lambda s, d: lookup.resolve(observations.keyed(obs(s, d)), entities(s, d), "dx_call_norm").select("dx_call_norm", "entity", "cq_zone"), RESOLVED),
         "J05_enrichment": (lambda s, d: lookup.enrich(observations.keyed(obs(s, d)), enrichment(s, d)).groupBy("dx_call_norm").agg(F.any_value("lotw").alias("lotw"), F.any_value("in_master_db").alias("in_master_db"), F.concat_ws(",", F.any_value("memberships")).alias("club")), f"select dx_call_norm, any_value(lotw) as lotw, any_value(in_master_db) as in_master_db, coalesce(any_value(club), '') as club from ({ENRICHED}) k group by dx_call_norm"),
         "J06_corroboration": (lambda s, d: quality.corroboration(_skims(s, d)).select("seq", "distinct_skimmers"), _CORROBORATED),
