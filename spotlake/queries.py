@@ -124,6 +124,8 @@ ENTITIES = """with p as (select concat('K', n_nationkey % 3, case when n_nationk
 select key, n_name as entity, n_regionkey as cq_zone from p join nation on n_nationkey = n"""
 RESOLVED = f"""select dx_call_norm, arg_max(entity, length(key)) as entity, arg_max(cq_zone, length(key)) as cq_zone from (select distinct dx_call_norm from ({KEYED}) k) c join ({ENTITIES}) e on starts_with(dx_call_norm, key) group by 1"""
 
+_RESOLVED_FEWER = RESOLVED.replace("starts_with(dx_call_norm, key)", "starts_with(dx_call_norm, key) and key <> 'K0'")
+
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/nation.parquet")
@@ -249,8 +251,8 @@ def _live(spark: SparkSession, sf: str) -> DataFrame:
     return windows.active_view(new, end).drop("revision")
 
 
-_GEO = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("ALGERIA",), cq_zone_allow=(0, 1, 2))))
-_RESOLVERS = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("ALGERIA",)), require_resolvers=True))
+_GEO = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("NATION_1",), cq_zone_allow=(0, 1, 2))))
+_RESOLVERS = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("NATION_1",)), require_resolvers=True))
 _MEMBERS = FilterConfig(enrichment=Enrichment(lotw="RequireTrue", membership=(Membership("Deny", "club2"),)))
 _OPEN = FilterConfig(unknown_policy="FailOpen", enrichment=Enrichment(membership=(Membership("Require", "club0"),)))
 _CLOSED = FilterConfig(unknown_policy="FailClosed", enrichment=Enrichment(in_master_db="RequireFalse"))
@@ -260,10 +262,10 @@ def _decisions(rows: DataFrame, rules: FilterConfig) -> DataFrame:
     return rows.groupBy(F.coalesce(drop_reason(rules), F.lit("Allow")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _geo(rules: FilterConfig) -> Query:
+def _geo(rules: FilterConfig, known: str = "true") -> Query:
     def run(spark, sf):
         rows = observations.keyed(obs(spark, sf))
-        return _decisions(observations.view(lookup.with_geo(rows, entities(spark, sf), "dx_call_norm", "dx_geo")), rules)
+        return _decisions(observations.view(lookup.with_geo(rows, entities(spark, sf).where(known), "dx_call_norm", "dx_geo")), rules)
 
     return run
 
@@ -301,10 +303,10 @@ def table() -> dict[str, tuple[Query, str | None]]:
         "S09_fan_in": (lambda s, d: observations.fan_in(obs(s, d).where("source_id = 'src0'"), obs(s, d).where("source_id = 'src1'")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")), f"select source_id, count(*) as n from ({OBS}) o where source_id in ('src0', 'src1') group by source_id"),
         "S12_json": (lambda s, d: json_lines(entry(s, d).select("dx_call_norm", "band", "n")), f"select '{{\"dx_call_norm\":\"' || dx_call_norm || '\",\"band\":\"' || band || '\",\"n\":' || count(*) || '}}' as value from ({KEYED}) k group by {keys}"),
         "F15_correlation": (_correlated, f"select decision, count(*) as n from (select case when unique_originators < 2 or unique_sources < 2 or total_observations < 3 then 'CorrelationNotMet' else 'Allow' end as decision from ({RUNNING}) r) x group by decision"),
-        "F18_entity_rules": (_geo(_GEO), f"select decision, count(*) as n from (select case when cq_zone is null then 'UnknownFieldFailed' when cq_zone not in (0, 1, 2) then 'GeoNotMet' when entity = 'ALGERIA' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
+        "F18_entity_rules": (_geo(_GEO), f"select decision, count(*) as n from (select case when cq_zone is null then 'UnknownFieldFailed' when cq_zone not in (0, 1, 2) then 'GeoNotMet' when entity = 'NATION_1' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
         "F19_enrichment_rules": (_members(_MEMBERS), f"select decision, count(*) as n from (select case when lotw is null then 'UnknownFieldFailed' when not lotw then 'EnrichmentNotMet' when club is null then 'UnknownFieldFailed' when club = 'club2' then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
         "F01_age": (_aged, f"select decision, count(*) as n from (select case when seq % 2000 > 900 then 'TooOld' else 'Allow' end as decision from ({KEYED}) k) x group by decision"),
-        "F17_resolvers": (_geo(_RESOLVERS), f"select decision, count(*) as n from (select case when entity is null then 'UnknownFieldFailed' when entity = 'ALGERIA' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
+        "F17_resolvers": (_geo(_RESOLVERS, "key <> 'K0'"), f"select decision, count(*) as n from (select case when entity is null then 'UnknownFieldFailed' when entity = 'NATION_1' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({_RESOLVED_FEWER}) r using (dx_call_norm)) x group by decision"),
         "F20_membership_open": (_members(_OPEN), f"select decision, count(*) as n from (select case when club <> 'club0' then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
         "F21_unknown_closed": (_members(_CLOSED), f"select decision, count(*) as n from (select case when in_master_db is null then 'UnknownFieldFailed' when in_master_db then 'EnrichmentNotMet' else 'Allow' end as decision from ({ENRICHED}) k) x group by decision"),
         "J03_longest_prefix": (lambda s, d: lookup.resolve(observations.keyed(obs(s, d)), entities(s, d), "dx_call_norm").select("dx_call_norm", "entity", "cq_zone"), RESOLVED),
