@@ -155,3 +155,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["dx_call_norm"], r["seq"], r["kind"], r["freq_bucket_hz"]) for r in spark.sql("select * from changelog").where("seq is not null").collect()}
     assert got == want and len(want) > 3
+
+
+def test_settings_change_between_batches(spark, tmp_path):
+    from spotlake.streaming.feed import start_micro_batches
+
+    schema = "source_id string, seq long, t_us long, value string, originator_policy string"
+    rules = iter([FilterConfig(), FilterConfig(freq_sanity_hz=(14_000_000, 15_000_000)), FilterConfig(freq_sanity_hz=(2, 1), rf=Rf(freq_deny_hz=((2, 1),)))])
+    passed = []
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    feed = start_micro_batches(stream, lambda: (AggregatorConfig(), next(rules)), lambda df, n: passed.append([r["passes"] for r in df.collect()]), str(tmp_path / "c"))
+    try:
+        for i in range(3):
+            spark.createDataFrame([("s", i, i * S, "DX de W1AW: 7025.0 K1ABC 1200Z", "Auto")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            feed.query.processAllAvailable()
+    finally:
+        feed.shutdown()
+    # the third rule set is not valid, so the second stays
+    assert passed == [[True], [False], [False]]
