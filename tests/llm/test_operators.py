@@ -162,6 +162,27 @@ def test_decontamination_recall(spark):
     assert all(r["edits"] <= int(decontaminate.allowed(r["n_words"])) for r in got)
 
 
+def _leaks_found(spark, items, docs):
+    """(documents that are found to leak the item of their own number, all of them)."""
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    assert all(r["edits"] <= int(decontaminate.allowed(r["n_words"])) for r in got)
+    return {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]}, {i for i, _ in docs}
+
+
+def test_decontamination_at_the_edges_of_a_text(spark):
+    """Items cut by all the allowed words at the very start or end of a document, and documents that are nothing else."""
+    rng = random.Random(19)
+    vocab = ["w" + str(i) for i in range(4000)]
+    items, docs = [], []
+    for i, (n, kind) in enumerate((n, kind) for n in (5, 6, 10, 20, 30, 50, 60) for kind in range(4) for _ in range(6)):
+        w = [rng.choice(vocab) for _ in range(n)]
+        k, around = int(decontaminate.allowed(n)), [rng.choice(vocab) for _ in range(80)]
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([around + w[: n - k], w[k:] + around, w[: n - k], w[k:]][kind])))
+    found, want = _leaks_found(spark, items, docs)
+    assert found == want
+
+
 def test_op5(spark, tables):
     got = _run(spark, tables, "op5_fingerprint")
     order = sorted(tables[1], key=lambda r: (r[0] is not None, r[0] or 0))
