@@ -16,6 +16,7 @@ null id is a row like any other and never the smallest; repeated rows all come o
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -227,12 +228,17 @@ def dedup_components(df: DataFrame, k: int = 3, r: int = 3, key: str = "doc_id",
 #: Bits of the wide fingerprint of `near_groups` and its radius: at similarity 0.8 a pair differs in 19.3 of 128 bits on average
 #: with a deviation of 4.1, so 31 misses about 2 pairs in 1,000 at the very threshold; two unrelated texts come that near about once in 10^8.
 WIDE_RADIUS = 31
+#: Sets of at most so many shingles are compared exactly as well: so few make a fingerprint too coarse.
+SHORT = 14
 #: Rows of one block of a band; a larger band is compared block by block.
 BLOCK = 16_384
 
 
 def wide(df: DataFrame, k: int, text: str) -> DataFrame:
-    """df's other columns (first) with f0, f1, n (distinct shingles) and their sorted 32-bit hashes `sh`."""
+    """df's other columns (first) with f0, f1, n (distinct shingles) and their sorted 32-bit hashes `sh`.
+
+    The fingerprints are those of the set, as the similarity is: how often a shingle comes does not count.
+    """
     others = [c for c in df.columns if c != text]
 
     def run(batches):
@@ -242,12 +248,12 @@ def wide(df: DataFrame, k: int, text: str) -> DataFrame:
             for _, d, o in segments(data, off):
                 m = len(o) - 1
                 h, doc = shingle_hashes(d, o, k)
-                f0.append(majority(h, doc, m))
-                f1.append(majority(mix(h ^ _U(0x5851F42D4C957F2D)), doc, m))
                 key = np.unique((doc.astype(_U) << _U(32)) | (mix(h) >> _U(32)))
-                count = np.bincount((key >> _U(32)).astype(np.int64), minlength=m)
+                doc, low = (key >> _U(32)).astype(np.int64), key.astype(np.uint32)
+                f0.append(majority(mix(low ^ _U(0x2545F4914F6CDD1D)), doc, m))
+                f1.append(majority(mix(low ^ _U(0x5851F42D4C957F2D)), doc, m))
+                count = np.bincount(doc, minlength=m)
                 n.append(count)
-                low = key.astype(np.uint32)
                 ends = np.cumsum(count)
                 sh += [low[z - c : z].tobytes() for z, c in zip(ends.tolist(), count.tolist())]
             cols = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((f0, _U), (f1, _U), (n, np.int64))]
@@ -273,10 +279,40 @@ def _cells(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("g", "other")
 
 
+def _short_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows(id, n, sh) of at most SHORT shingles -> (a, b): links by which all pairs that are similar enough hang together.
+
+    Sets that share s shingles, with d and e others, are similar enough if s >= similarity * (s + d + e).  A set gives a key for each way to
+    leave out d of its shingles, so such a pair meets under what it shares; and whoever is linked there is linked to the set with
+    the fewest others.
+    """
+    most = [int(s * (1 / similarity - 1) + 1e-9) for s in range(SHORT + 1)]
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for i, sh in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = mix(np.frombuffer(sh, np.uint32) ^ _U(0x9E3779B97F4A7C15))
+                for d in range(len(h)):
+                    if d > most[len(h) - d]:
+                        break
+                    left = np.array(list(itertools.combinations(range(len(h)), d)), np.int64).reshape(math.comb(len(h), d), d)
+                    key = mix(h.sum(dtype=_U) - h[left].sum(1, dtype=_U))
+                    got.append((np.full(len(key), i), key.view(np.int64), np.full(len(key), d), np.full(len(key), most[len(h) - d])))
+            cols = [np.concatenate(c).astype(np.int64) for c in zip(*got)] if got else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "key", "d", "most"])
+
+    keys = cut(rows.where(F.col("n").between(1, SHORT)).select("id", "sh").mapInArrow(run, "id long, key long, d long, most long"))
+    first = keys.groupBy("key").agg(F.min(F.struct("d", "id")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = keys.join(first, "key").where((F.col("id") != F.col("f.id")) & (F.col("d") + F.col("f.d") <= F.col("most")))
+    return met.select(F.col("id").alias("a"), F.col("f.id").alias("b"))
+
+
 def near_groups(texts: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """texts(id long, text), ids distinct -> (node, root): groups of texts linked by Jaccard similarity of their shingle sets.
 
-    Fingerprints propose pairs; each link is verified on the shingle sets, unless its ends are joined already.
+    Fingerprints propose pairs; each link is verified on the shingle sets, unless its ends are joined already.  Short texts are linked
+    by their sets alone, too.
     """
     rows = cut(wide(texts, k, "text"))
 
@@ -309,7 +345,8 @@ def near_groups(texts: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     slim = _cells(rows.select("id", "f0", "f1", "n").where("n > 0"), similarity)
     found = cut(slim.groupBy("band", "i", "j").applyInPandas(candidates, "id long").distinct())
     some = rows.where("n > 0").join(found, "id")
-    return components(_cells(some, similarity).groupBy("band", "i", "j").applyInPandas(verify, "a long, b long"))
+    verified = _cells(some, similarity).groupBy("band", "i", "j").applyInPandas(verify, "a long, b long")
+    return components(verified.unionByName(_short_links(rows, similarity)))
 
 
 def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:

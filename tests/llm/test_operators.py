@@ -318,3 +318,44 @@ def test_near_duplicates_match_brute_force(spark, tables):
     ids = [r[0] for r in rows]
     comp = least_of_groups(ids, lambda i, j: similar(rows[i][1], rows[j][1]))
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted(set(comp), key=str)
+
+
+def _planted(rng, kind, i):
+    word = lambda n: [f"p{i}x{rng.randrange(10**6)}" for _ in range(n)]
+    if kind == "repeats":
+        line, rest = word(16), word(190)
+        return line + rest, line * 20 + rest
+    n = kind + 4
+    w = word(n)
+    return w, w + word(1)
+
+
+def test_near_duplicates_with_repeats_and_short_ones(spark):
+    """Copies that repeat a line 20 times, and texts of 4 to 9 shingles against the same with a word more."""
+    rng = random.Random(39)
+    docs, want = [], []
+    for i, kind in enumerate(["repeats"] * 20 + [n for n in range(4, 10) for _ in range(80)]):
+        a, b = (" ".join(x) for x in _planted(rng, kind, i))
+        assert similar(a, b)
+        docs += [(2 * i, a), (2 * i + 1, b)]
+        want.append(2 * i)
+    got = sh.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == want
+
+
+def test_short_links_match_brute_force(spark):
+    rng = random.Random(49)
+    sets = []
+    for _ in range(150):
+        one = rng.sample(range(1, 10**9), rng.randint(1, sh.SHORT))
+        for _ in range(3):
+            other = set(rng.sample(one, max(1, len(one) - rng.randint(0, 3)))) | set(rng.sample(range(1, 10**9), rng.randint(0, 2)))
+            sets.append(other if len(other) <= sh.SHORT else set(one))
+        sets.append(set(one))
+    rows = [(i, len(x), np.array(sorted(x), np.uint32).tobytes()) for i, x in enumerate(sets)]
+    links = sh._short_links(spark.createDataFrame(rows, "id long, n long, sh binary"), 0.8).collect()
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(alike(r["a"], r["b"]) for r in links)
+    ids = list(range(len(sets)))
+    met = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in links}
+    assert least_of_groups(ids, lambda i, j: (i, j) in met) == least_of_groups(ids, alike)
