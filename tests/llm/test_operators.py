@@ -183,6 +183,29 @@ def test_decontamination_at_the_edges_of_a_text(spark):
     assert found == want
 
 
+def test_decontamination_of_long_items(spark):
+    """All the allowed edits, of one kind and of all, scattered over items of 100 to 400 words in mid-document."""
+    rng = random.Random(29)
+    vocab = ["w" + str(i) for i in range(4000)]
+    items, docs = [], []
+    for i, (n, kind) in enumerate((n, kind) for n in (100, 150, 200, 400) for kind in range(4) for _ in range(4)):
+        w = [rng.choice(vocab) for _ in range(n)]
+        items.append((i, " ".join(w)))
+        for _ in range(int(decontaminate.allowed(n))):
+            at = rng.randrange(len(w))
+            match kind if kind < 3 else rng.randrange(3):
+                case 0:
+                    w[at] = "new"
+                case 1:
+                    w.insert(at, "new")
+                case 2:
+                    del w[at]
+        around = [rng.choice(vocab) for _ in range(80)]
+        docs.append((i, " ".join(around[:40] + w + around[40:])))
+    found, want = _leaks_found(spark, items, docs)
+    assert found == want
+
+
 def test_op5(spark, tables):
     got = _run(spark, tables, "op5_fingerprint")
     order = sorted(tables[1], key=lambda r: (r[0] is not None, r[0] or 0))
