@@ -288,6 +288,14 @@ def test_parsers_agree_with_patterns():
             assert [x for x in pii.spans(t, anchors) if x[1] < 4] == pii.base_spans(t), t
 
 
+def test_phone_of_any_length():
+    for fill in (" ", ".", "-", ")(", " - "):
+        t = "call +1" + fill * 5000 + "555" + fill * 5000 + "0109999 now"
+        found = pii.spans(t, pii.automaton())
+        assert [x[1] for x in found if x[1] < 4] == [3]
+        assert [x for x in found if x[1] < 4] == pii.base_spans(t)
+
+
 def test_op9(spark, tables):
     got = {r["page_id"]: r for r in _run(spark, tables, "op9_urls")}
     rules = ["example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None, None, "org/", None, None]
