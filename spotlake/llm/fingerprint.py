@@ -8,8 +8,12 @@ filters of FILTER bytes, HASHES bits each, in order of appearance; after PER_FIL
 Two digests are compared filter by filter: the overlap of set bits over what chance explains, as a share of the most possible, 0 to 1; each
 filter of the digest with fewer filters meets its best match in the other, weighed by the windows it holds.
 
+Scale: rows are parted into ranges of ids and sorted there, so a document and the next one pass by in one task; the ends of ranges, two rows each,
+meet in a join.  A range is streamed, whatever its size.
+
 Defined cases: null is an empty text; an empty text has the empty digest, like 1 to an empty one and 0 to any other; texts shorter than a
-window are padded to one, and texts under SMALL bytes add all windows of SHORT bytes; equal texts have equal digests; ids may repeat or be null (null first, equal ids by text hash).
+window are padded to one, and texts under SMALL bytes add all windows of SHORT bytes; a text counts whole, however long; equal texts have equal digests; ids may
+be of any type, repeat or be null (null first, equal ids by text hash; equal rows are spread over ranges like others); a lone document is its own next one.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kernels import _BYTE, _P, _PINV, buffers, mix, powers, segments
-from .shared import pack, sum_blobs, table, tune, unpack
+from .shared import cut, pack, sum_blobs, table, tune, unpack
 
 WINDOW = 32
 REACH = 16
@@ -33,8 +39,9 @@ FILTER = 128
 PER_FILTER = 64
 HASHES = 5
 LEVELS = 256
-#: Text bytes of one range of ids.
+#: Text bytes of one range of ids, and the most ranges: beyond them ranges grow.
 RANGE_BYTES = 24 << 20
+RANGES = 8_192
 _U = np.uint64
 
 
@@ -162,74 +169,83 @@ def text_of(d: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) in ranges of ids: `part`, and `extra` rows that show each range the first row of the next one.
+    """docs(key, text) parted into ranges of ascending keys, each in order; equal rows may lie in two ranges."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(size // RANGE_BYTES, RANGES))
+    order = [F.col("key").asc_nulls_first(), F.col("h"), F.col("m")]
+    rows = docs.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
 
-    Quantiles of the ids cut the ranges; a range's first id comes from a scan of the ids alone.  A row is shuffled once, and
-    once more if it heads a range.
-    """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    parts = max(1, min((size[0] or 0) // RANGE_BYTES, size[1]))
-    cuts = []
-    if parts > 1:
-        cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:
-        # constants, as many as there are ranges
-        arr = F.array(*[F.lit(c) for c in cuts])
-        part = F.coalesce(F.size(F.filter(arr, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("z"), F.col("doc_id").alias("d"))).alias("h")).orderBy("part").collect()
-    copies = F.array(F.struct(part.alias("part"), F.lit(False).alias("extra")))
-    for i, row in enumerate(heads):
-        back = F.struct(F.lit(heads[i - 1]["part"]).alias("part"), F.lit(True).alias("extra"))
-        same = F.col("doc_id").eqNullSafe(F.lit(row["h"]["d"]))
-        copies = F.when(same, F.array(F.struct(part.alias("part"), F.lit(False).alias("extra")), back)).otherwise(copies)
-    rows = docs.withColumn("c", F.explode(copies)).select("doc_id", "text", "c.part", "c.extra")
-    return rows.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
+class Pairs:
+    """What op5 returns for a document and its successor; digests of the last texts are kept."""
 
-def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document and of its edited text, and their likeness."""
-    tune(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rank = ranks(level_counts(docs))
-    cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    def __init__(self, rank: np.ndarray):
+        self.digester = Digester(rank)
+        self.known: list[tuple[str, tuple]] = []
+
+    def digest(self, text: str) -> tuple:
+        for t, d in self.known:
+            if t == text:
+                return d
+        d = self.digester.digest(np.frombuffer(text.encode(), np.uint8))
+        self.known.append((text, d))
+        del self.known[:-2]
+        return d
+
+    def row(self, key, text: str, after: str) -> tuple:
+        n = len(text)
+        k = n // 4
+        edited = text[: n - k] + after[:k]
+        mine, other = self.digest(text), self.digest(after)
+        new = mine if edited == text else self.digester.digest(np.frombuffer(edited.encode(), np.uint8))
+        return key, n, hashlib.sha256(edited.encode()).hexdigest(), text_of(mine), text_of(new), likeness(mine, new), likeness(mine, other)
+
+
+def successors(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """docs(key, text) -> key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    kind = docs.schema["key"].dataType.simpleString()
+    result = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    cols = [c.split()[0] for c in result.split(", ")]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+    def give(rows, key_type, more=()):
+        kinds = [key_type, *types, *more]
+        names = [*cols, "part", "place", "text"][: len(kinds)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     def run(batches):
-        digester = Digester(rank)
-        known: list[tuple[str, tuple]] = []
-
-        def digest(text: str) -> tuple:
-            for t, d in known:
-                if t == text:
-                    return d
-            d = digester.digest(np.frombuffer(text.encode(), np.uint8))
-            known.append((text, d))
-            del known[:-2]
-            return d
-
-        def pair(key, text: str, after: str):
-            n = len(text)
-            k = n // 4
-            edited = text[: n - k] + after[:k]
-            mine, other = digest(text), digest(after)
-            new = mine if edited == text else digester.digest(np.frombuffer(edited.encode(), np.uint8))
-            return key, n, hashlib.sha256(edited.encode()).hexdigest(), text_of(mine), text_of(new), likeness(mine, new), likeness(mine, other)
-
-        last, at, closed = None, None, False
+        """Place 0: a row whose successor is in its range; 1 and 2: the text of the range's first row, and its last row."""
+        pairs, part, last = Pairs(rank), TaskContext.get().partitionId(), None
+        more = (pa.int32(), pa.int32(), pa.string())
         for b in batches:
             out = []
-            for key, text, part, extra in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = text or ""
-                if part != at:
-                    at, last, closed = part, None, False
-                if closed:
-                    continue
-                if last is not None:
-                    out.append(pair(*last, text))
-                last, closed = (key, text), extra
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=cols)
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                out.append((None,) * 7 + (part, 1, text) if last is None else (*pairs.row(*last, text), part, 0, None))
+                last = (key, text)
+            key_type = b.column(0).type
+            yield give(out, key_type, more)
+        if last is not None:
+            yield give([(last[0], *[None] * 6, part, 2, last[1])], key_type, more)
+
+    def close(batches):
+        pairs = Pairs(rank)
+        for b in batches:
+            yield give([pairs.row(*r) for r in zip(*[b.column(i).to_pylist() for i in range(3)])], b.column(0).type)
+
+    made = cut(in_order(docs).mapInArrow(run, f"{result}, part int, place int, text string"))
+    heads, tails = made.where("place = 1").select("part", F.col("text").alias("after")), made.where("place = 2").select("part", "key", "text")
+    # one row a range, of which there are RANGES at most
+    w = W.orderBy("part")
+    following = heads.select("part", F.coalesce(F.lead("part").over(w), F.first("part").over(w)).alias("following"))
+    ends = tails.join(following, "part").join(heads.withColumnRenamed("part", "following"), "following").select("key", "text", "after")
+    return made.where("place = 0").select(*cols).unionByName(ends.mapInArrow(close, result))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document and of its edited text, and their likeness."""
+    tune(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rank = ranks(level_counts(docs))
+    return successors(docs.withColumnRenamed("doc_id", "key"), rank).withColumnRenamed("key", "doc_id")
