@@ -1,11 +1,12 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training adds up, language by language, how often each hashed n-gram of 1 to 4 characters occurs; the sums of all tasks meet in
-Spark's aggregation.  The log-probability matrix (languages x BUCKETS, a fixed width) is broadcast and texts are scored in numpy, an
-n-gram being a row of the matrix.  ASCII letters are lower-cased; digits and ASCII punctuation part words and are left out.
+Spark's aggregation.  The log-probability matrix (BLOCK languages x BUCKETS, a fixed width) is broadcast and texts are scored in numpy, an
+n-gram being a row of the matrix.  More languages are scored block by block, a pass over the texts each, which carries the best language and
+the sum of the posterior on.  ASCII letters are lower-cased; digits and ASCII punctuation part words and are left out.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the smaller language by code point; a
-null id is a row like any other; without a training row everything is `und`; equal texts get equal results.
+Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the smaller language by code point; a text counts whole,
+however long; a null id is a row like any other; without a training row everything is `und`; equal texts get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, buffers, mix, segments
-from .shared import fold, table, tune
+from .shared import cut, fold, table, tune
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 ALPHA = 0.5
-#: Languages of the matrix at most; the broadcast is then 256 MB at most.
-MOST_LANGUAGES = 1024
+#: Languages of one matrix; its broadcast is then 64 MB at most.
+BLOCK = 256
 LETTER = "\\p{L}"
 #: Bytes that are kept: letters and all of longer code points; others become one space.
 _KEEP = np.zeros(256, bool)
@@ -63,8 +64,8 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owner)
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix (BUCKETS, languages) from all rows with a language."""
+def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame]:
+    """Languages in order, and how often (lang, bucket, n) each n-gram occurs in them, from all rows with a language."""
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -75,12 +76,17 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str
                 g, doc = grams(d, o)
                 mine = langs[lo : lo + len(o) - 1]
                 names = sorted(set(mine))
-                code = np.array([names.index(x) for x in mine])
-                n = np.bincount(code[doc].astype(np.int64) * BUCKETS + g, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for i, x in enumerate(names):
-                    held[x] = held[x] + n[i] if x in held else n[i]
-                if len(held) > 64:
-                    yield from flush(held)
+                place = {x: i for i, x in enumerate(names)}
+                code = np.array([place[x] for x in mine])
+                # languages a few at a time: a dense table of them all would have no bound
+                for first in range(0, len(names), 64):
+                    some = names[first : first + 64]
+                    on = (code[doc] >= first) & (code[doc] < first + 64)
+                    n = np.bincount((code[doc][on] - first).astype(np.int64) * BUCKETS + g[on], minlength=len(some) * BUCKETS).reshape(-1, BUCKETS)
+                    for i, x in enumerate(some):
+                        held[x] = held[x] + n[i] if x in held else n[i]
+                    if len(held) > 64:
+                        yield from flush(held)
         yield from flush(held)
 
     def flush(held):
@@ -90,52 +96,65 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str
         held.clear()
 
     rows = df.where(F.col(lang).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("l"))
-    seen = sorted((r[0] for r in rows.select("l").distinct().limit(MOST_LANGUAGES + 1).collect()), key=lambda x: x.encode())
-    if len(seen) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # a row of the matrix at a time: languages x BUCKETS numbers at most reach the driver
-    packed = sums.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m")).toArrow()
-    total = np.zeros((BUCKETS, len(seen)))
-    index = {x: i for i, x in enumerate(seen)}
+    seen = sorted((r[0] for r in rows.select("l").distinct().collect()), key=lambda x: x.encode())
+    return seen, cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+
+
+def matrix(langs: list[str], sums: DataFrame) -> np.ndarray:
+    """Log-probabilities (BUCKETS, languages) of some languages; a row of the matrix at a time reaches the driver."""
+    packed = sums.where(F.col("lang").isin(*langs)).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m")).toArrow()
+    total = np.zeros((BUCKETS, len(langs)))
+    index = {x: i for i, x in enumerate(langs)}
     for b, m in zip(packed.column("bucket").to_pylist(), packed.column("m").to_pylist()):
         for x, n in m:
             total[b, index[x]] = n
     total += ALPHA
-    return seen, np.log(total / total.sum(axis=0)).astype(np.float32) if seen else total
+    return np.log(total / total.sum(axis=0)).astype(np.float32)
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """df with lang_pred and score, the posterior of the language under equal priors."""
-    tune(df.sparkSession)
-    langs, matrix = model
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
-    others = [c for c in df.columns if c != text]
+def _pass(langs: list[str], shared, others: int, last: bool):
+    """One block of languages over all texts: the best language so far, its log-probability, and the others' odds against it."""
 
     def run(batches):
         m = shared.value
         for b in batches:
-            data, off = buffers(b.column(len(others)))
+            data, off = buffers(b.column(others))
             n = len(off) - 1
             total = np.zeros((n, len(langs)))
             for lo, d, o in segments(data, off, 1 << 20):
                 g, doc = grams(d, o)
                 for j in range(len(langs)):
                     total[lo : lo + len(o) - 1, j] += np.bincount(doc, weights=m[g, j], minlength=len(o) - 1)
-            lettered = b.column(len(others) + 1).to_numpy(zero_copy_only=False)
-            if langs:
-                best = total.argmax(axis=1)
-                score = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
-                pred = [langs[i] if ok else "und" for i, ok in zip(best, lettered)]
-            else:
-                score, pred = np.zeros(n), ["und"] * n
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, "lang_pred", "score"])
-
-    names = [f"c{i}" for i in range(len(others))]
-    lettered = F.coalesce(F.rlike(F.col(text), F.lit(LETTER)), F.lit(False))
+            best, top, odds = b.column(others + 2).to_pylist(), *(b.column(others + i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            mine = total.argmax(axis=1)
+            high = total[np.arange(n), mine]
+            new = np.maximum(top, high)
+            odds = odds * np.exp(top - new) + np.exp(total - new[:, None]).sum(axis=1)
+            best = [langs[i] if up else old for i, up, old in zip(mine, high > top, best)]
+            kept = [*b.columns[:others], *([] if last else [b.column(others)]), b.column(others + 1)]
+            names = [f"c{i}" for i in range(others)] + ([] if last else ["t"]) + ["l", "best", "top", "odds"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(new), pa.array(odds)], names=names)
+
+    return run
+
+
+def predict(df: DataFrame, model: tuple[list[str], DataFrame], text: str = "text") -> DataFrame:
+    """df with lang_pred and score, the posterior of the language under equal priors."""
+    tune(df.sparkSession)
+    langs, sums = model
+    others = [c for c in df.columns if c != text]
     head = "".join(f"c{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(others))
-    out = df.select(*others, text, lettered.alias("__l")).mapInArrow(run, f"{head}lang_pred string, score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], "lang_pred", "score")
+    lettered = F.coalesce(F.rlike(F.col(text), F.lit(LETTER)), F.lit(False))
+    rows = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text).alias("t"), lettered.alias("l"), F.lit(None).cast("string").alias("best"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("odds"))
+    blocks = [langs[i : i + BLOCK] for i in range(0, len(langs), BLOCK)]
+    for i, block in enumerate(blocks):
+        last = i == len(blocks) - 1
+        shared = df.sparkSession.sparkContext.broadcast(matrix(block, sums))
+        rows = rows.mapInArrow(_pass(block, shared, len(others), last), f"{head}{'' if last else 't string, '}l boolean, best string, top double, odds double")
+        if not last:
+            rows = cut(rows)
+    known = F.col("l") & F.col("best").isNotNull()
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], F.when(known, F.col("best")).otherwise("und").alias("lang_pred"), F.when(known, 1 / F.col("odds")).otherwise(0.0).alias("score"))
 
 
 def training(docs: DataFrame) -> DataFrame:
