@@ -1,20 +1,23 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every token starts with rate 1.  The rates closest to that in relative entropy whose sums meet each source's token target
-are exponentially tilted, rate = exp(lambda[source]); lambda minimises the convex dual sum(size * exp(lambda)) - target * lambda.
-A source's token sum is added up by Spark from all documents, the dual's Hessian is diagonal (a document has one source), and
-Newton's iteration runs for every source where its row lies.
+Every document starts with rate 1.  Of all rates up to MOST whose token sums meet each source's target, those closest to the start in
+relative entropy, sum(rate * log(rate) - rate), are exponentially tilted by the document's tokens: rate = min(MOST, exp(lambda[source] * tokens)),
+tokens counted in units of the source's mean.  lambda minimises the convex dual, whose gradient is sum(tokens * rate) - target and whose Hessian,
+sum(tokens^2 * rate) over the rates below MOST, is diagonal, as a document has one source.  Newton's iteration is distributed: each step
+is one pass over the size classes of all documents (a class is a source and a size), and a step that leaves the bracket of the root halves it instead.
+A target of MOST times the size, which a finite lambda does not reach, sets all rates to MOST.
 
 Rates become whole copies by carrying the remainder through each source's size classes, from long documents to short ones, so
 a source misses its target by about its shortest document at most.  Within a class the documents that get one copy more
 are the first by hash.
 
-Defined cases: a null source is a source, ordered last; a null or blank text has size 0 and is taken 0 times; a null id is
+Defined cases: a null source is a source, ordered last; a null or blank text has size 0 and is taken 0 times; a text counts whole, however long; a null id is
 ordered before others; equal rows may differ by one copy; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,7 +33,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 MOST = 2
 #: Rows of one hash bucket of a size class; ranks are taken bucket by bucket.
 BUCKET_ROWS = 50_000
-NEWTON_STEPS = 60
+#: Newton stops once every source's tokens are this near their target, or after so many steps (halving alone would need some 50).
+NEAR = 1e-7
+NEWTON_STEPS = 100
 
 
 def word_count(text: str) -> Column:
@@ -62,11 +67,40 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, most: flo
     return totals.withColumn("target", F.least(full.cast("double"), F.col("weight") * F.lit(level)))
 
 
-def tilt(size: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
-    """The dual's minimiser exp(lambda) of size * exp(lambda) - target * lambda, by Newton's iteration from 0."""
-    step = lambda x, _: x - (size * F.exp(x) - target) / (size * F.exp(x))
-    found = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
-    return F.when((size > 0) & (target > 0), found).otherwise(F.lit(0.0))
+def tilted(lam: Column, x: Column) -> Column:
+    """A document's rate; x is its size in units of the source's mean."""
+    return F.when(lam * x >= math.log(MOST), F.lit(float(MOST))).otherwise(F.exp(lam * x))
+
+
+def balance(classes: DataFrame, totals: DataFrame) -> DataFrame:
+    """classes(source, size, n) and totals(source, source_size, target) -> totals with mean and lam, lambda of each source.
+
+    One row a source goes from step to step; nothing of it reaches the driver but how many sources are still off.
+    """
+    means = classes.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    t, m = totals.alias("t"), means.alias("m")
+    now = t.join(m, F.col("t.source").eqNullSafe(F.col("m.source")), "left").select("t.*", F.coalesce("m.mean", F.lit(1.0)).alias("mean"))
+    now = cut(now.withColumns({"lam": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "done": (F.col("target") <= 0) | (F.col("target") >= MOST * F.col("source_size") * (1 - NEAR))}))
+    for _ in range(NEWTON_STEPS):
+        off = now.where("not done")
+        if not off.head(1):
+            break
+        c, s = classes.where("size > 0").alias("c"), off.alias("s")
+        x = F.col("c.size") / F.col("s.mean")
+        rate = tilted(F.col("s.lam"), x)
+        met = c.join(s, F.col("c.source").eqNullSafe(F.col("s.source"))).select("s.*", (F.col("c.n") * x * rate).alias("g"), F.when(rate < MOST, F.col("c.n") * x * x * rate).otherwise(0.0).alias("h"))
+        fields = [f for f in now.columns]
+        met = met.groupBy(*fields).agg((F.sum("g") - F.col("target") / F.col("mean")).alias("g"), F.sum("h").alias("h"))
+        low, high = F.when(F.col("g") < 0, F.col("lam")).otherwise(F.col("low")), F.when(F.col("g") > 0, F.col("lam")).otherwise(F.col("high"))
+        met = met.withColumns({"low": low, "high": high, "done": F.abs("g") * F.col("mean") <= NEAR * F.greatest("target", F.lit(1.0))})
+        newton = F.when(F.col("h") > 0, F.col("lam") - F.col("g") / F.col("h"))
+        inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high"))
+        # without a bracket on one side the step is to twice the distance, at most
+        half = F.when(F.col("low") == float("-inf"), F.least(F.col("high") * 2, F.col("high") - 1)).when(F.col("high") == float("inf"), F.greatest(F.col("low") * 2, F.col("low") + 1)).otherwise((F.col("low") + F.col("high")) / 2)
+        step = F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise(half)
+        now = cut(now.where("done").unionByName(met.withColumn("lam", step).select(*fields)))
+    full = F.col("target") >= MOST * F.col("source_size") * (1 - NEAR)
+    return now.withColumn("lam", F.when(F.col("target") <= 0, F.lit(float("-inf"))).when(full, F.lit(float("inf"))).otherwise(F.col("lam"))).drop("low", "high", "done")
 
 
 def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +113,7 @@ def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
             want = carried + float(z) * n * rate
             copies[i] = min(max(int(np.floor(want / z + 0.5)), 0), MOST * int(n))
             carried = want - float(z) * copies[i]
-    return pdf[["source", "size", "n"]].assign(copies=copies)
+    return pdf[["source", "size", "n", "rate"]].assign(copies=copies)
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
@@ -92,18 +126,19 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     fold = 1
     while fold < min(1 << 12, max(16, all_rows // BUCKET_ROWS)):
         fold *= 2
-    classes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    classes = cut(cells.groupBy("source", "size").agg(F.sum("n").alias("n")))
     totals = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share)
-    totals = cut(totals.withColumn("rate", tilt(F.col("source_size").cast("double"), F.col("target"))))
-    rated = classes.alias("c").join(totals.select("source", "rate").alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "c.size", "c.n", "t.rate")
-    plan = rated.groupBy("source").applyInPandas(_carry, "source string, size long, n long, copies long")
+    totals = balance(classes, totals)
+    rate = F.when(F.col("c.size") > 0, tilted(F.col("t.lam"), F.col("c.size") / F.col("t.mean"))).otherwise(0.0)
+    rated = classes.alias("c").join(totals.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "c.size", "c.n", rate.alias("rate"))
+    plan = rated.groupBy("source").applyInPandas(_carry, "source string, size long, n long, rate double, copies long")
     part = cells.groupBy("source", "size", F.pmod(F.col("__b"), F.lit(fold)).alias("__b")).agg(F.sum("n").alias("m"))
     before = W.partitionBy("source", "size").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     part = part.withColumn("first", F.coalesce(F.sum("m").over(before), F.lit(0)))
     part, plan = part.alias("p"), plan.alias("q")
-    quota = part.join(plan, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.size") == F.col("q.size"))).select("p.source", "p.size", "p.__b", "p.first", "q.n", "q.copies")
+    quota = part.join(plan, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.size") == F.col("q.size"))).select("p.source", "p.size", "p.__b", "p.first", "q.n", "q.rate", "q.copies")
     quota, t = quota.alias("q"), totals.alias("t")
-    quota = quota.join(t, F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.target", "t.rate", _named(F.col("q.source")).alias("__s"))
+    quota = quota.join(t, F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.target", _named(F.col("q.source")).alias("__s"))
     # rows are shuffled once: the ranks and the join with the quotas share the key
     rows = rows.withColumns({"__b": F.pmod(F.col("__h"), F.lit(fold)).cast("int"), "__s": _named(F.col("source"))})
     rank = F.row_number().over(W.partitionBy("__s", "size", "__b").orderBy("__h", "__id")) - 1
