@@ -1,17 +1,22 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Every text's word shingles are hashed by XXH64; a fingerprint bit is set if it is set in over half the hashes.  A vantage-point
-tree parts the distinct fingerprints into shards: a node sends what lies nearer to its vantage point than its cut to one
-side and the rest to the other.  By the triangle bound a pair within the radius that straddles a cut has its nearer end within the
-radius of the cut, so only those fingerprints are copied to the far side; every pair within the radius meets in a shard, whichever
-sample chose the vantage points.  A shard goes on as a tree in memory down to small leaves, whose pairs are compared in blocks.
-
-A shard returns a spanning forest, not pairs; `components` joins the forests.  Where fingerprints lie evenly, a cut at radius 3
-copies about 28 % of a shard and saves 13 % of its pairs: the work grows nearly with the square of the number of distinct
-fingerprints.  At the wide radius of `near_groups` the bound prunes little, and the shards are bands of like shingle counts.
-
-Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; equal texts always share a component; a
-null id is a row like any other and never the smallest; repeated rows all come out; an empty table gives no rows.
+Every text's word shingles are hashed by XXH64; a fingerprint bit is set if it is set in over half the hashes.  The distinct fingerprints
+are parted into shards in which every pair within the radius meets:
+
+1. Of radius + 1 blocks of bits, a pair within the radius agrees in one at least.  A fingerprint goes to a shard for each block, named by the
+   block's first bits, as many as bring a shard to about CELL fingerprints.
+2. A shard of more than SHARD is cut by Hamming distance to a vantage point of its own, at the median: the nearer ones go to one side, the rest
+   to the other.  By the triangle bound a pair within the radius that straddles the cut has its nearer end within the radius of the cut, so
+   only those fingerprints are copied to the far side.  This goes on until no shard is too large, or a cut would shed less than a tenth.
+3. What will not be cut is compared in pairs of blocks of SHARD / 2.
+
+A shard goes on as a vantage-point tree in memory down to small leaves, whose pairs are compared in blocks.  Which vantage points are drawn
+decides balance, never results.  A shard returns a spanning forest, not pairs; `components` joins the forests.  Work grows in proportion to the
+distinct fingerprints as long as the blocks have bits left (some 10^8 fingerprints of evenly spread bits), and beyond it by cuts and pair blocks.
+At the wide radius of `near_groups` the bound prunes little, and the shards are bands of like shingle counts.
+
+Defined cases: a null, empty or blank text has fingerprint 0, linked like any other; equal texts always share a component; a text counts
+whole, however long; a null id is a row like any other and never the smallest; repeated rows all come out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +35,9 @@ from .components import components
 from .kernels import buffers, counts_by, mix, segments, words
 from .shared import cut, table, tune
 
-#: A shard of the tree holds about this many distinct fingerprints.
+#: Distinct fingerprints a shard is meant to hold, and the most that one task compares.
+CELL = 8_192
 SHARD = 32_768
-#: Fingerprints that choose vantage points and cuts (a bounded sample: it decides balance, not results).
-SAMPLE = 4_096
 LEAF = 1_024
 _U = np.uint64
 
@@ -155,53 +159,40 @@ def forest(x: np.ndarray, r: int) -> np.ndarray:
     return _find(parent, parent)
 
 
-class Tree:
-    """The tree's upper levels: nodes (vantage point, cut) in heap order; leaves are shards."""
-
-    def __init__(self, sample: np.ndarray, levels: int, r: int):
-        self.levels, self.r, self.nodes = levels, r, {}
-        rng = np.random.default_rng(11)
-
-        def build(node: int, x: np.ndarray, level: int) -> None:
-            if level == levels or len(x) < 4:
-                return
-            p = x[rng.integers(len(x))]
-            d = np.bitwise_count(x ^ p)
-            c = int(np.median(d))
-            self.nodes[node] = (p, c)
-            build(2 * node, x[d < c], level + 1)
-            build(2 * node + 1, x[d >= c - r], level + 1)
-
-        build(1, sample, 0)
-
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shard, index into x) of every place a fingerprint goes to."""
-        out, stack = [], [(1, np.arange(len(x)))]
-        while stack:
-            node, at = stack.pop()
-            if node in self.nodes:
-                p, c = self.nodes[node]
-                d = np.bitwise_count(x[at] ^ p).astype(np.int16)
-                stack += [(2 * node, at[d < c]), (2 * node + 1, at[d >= c - self.r])]
-            elif len(at):
-                out.append((node, at))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([np.full(len(a), n) for n, a in out]), np.concatenate([a for _, a in out])
+def shards(fps: DataFrame, r: int) -> DataFrame:
+    """fps(fp), distinct -> (shard, i, j, fp): every pair within distance r meets in a shard of at most SHARD fingerprints."""
+    n, width = fps.count(), 64 // (r + 1)
+    bits = min(width, max(0, math.ceil(math.log2(max(1, n) / CELL))))
+    top = lambda k: F.shiftrightunsigned("fp", (k + 1) * width - bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(k << bits)
+    cells = [top(k).cast("long") for k in range(r + 1)] if bits else [F.lit(0).cast("long")]
+    rows = cut(fps.select(F.explode(F.array(*cells)).alias("shard"), "fp", F.lit(True).alias("open")))
+    level = 0
+    while True:
+        level += 1
+        big = rows.where("open").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("p"))
+        big = cut(big.where(F.col("n") > SHARD))
+        if not big.head(1):
+            break
+        far_off = F.bit_count(F.col("fp").bitwiseXOR(F.col("p")))
+        some = rows.where("open").join(big, "shard").withColumn("d", far_off)
+        middle = some.groupBy("shard").agg(F.percentile_approx("d", 0.5).alias("c"))
+        sides = some.join(middle, "shard").groupBy("shard", "p", "c", "n").agg(F.count_if(F.col("d") < F.col("c")).alias("near"), F.count_if(F.col("d") >= F.col("c") - r).alias("far"))
+        plan = cut(sides.select("shard", "p", "c", ((F.col("near") > 0) & (F.col("far") <= 0.9 * F.col("n"))).alias("splits")))
+        stay = lambda on: F.struct(F.col("shard").alias("shard"), F.lit(on).alias("open"))
+        side = lambda k: F.struct(F.xxhash64("shard", F.lit(k), F.lit(level)).alias("shard"), F.lit(True).alias("open"))
+        near, far = F.when(far_off < F.col("c"), side(0)), F.when(far_off >= F.col("c") - r, side(1))
+        to = F.when(F.col("splits").isNull(), F.array(F.struct(F.col("shard").alias("shard"), F.col("open").alias("open")))).when(~F.col("splits"), F.array(stay(False))).otherwise(F.array_compact(F.array(near, far)))
+        rows = cut(rows.join(plan, "shard", "left").select(F.explode(to).alias("to"), "fp").select("to.shard", "fp", "to.open"))
+    half = max(1, SHARD // 2)
+    left = cut(rows.where("not open").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("g")))
+    rows = rows.join(left, "shard", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+    rows = rows.select("shard", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    return rows.select("shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
 
 
 def links(fps: DataFrame, r: int) -> DataFrame:
     """fps(fp), distinct -> (a, b): a spanning forest of the pairs within distance r, shard by shard."""
-    n = fps.count()
-    levels = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
-    few = [row[0] for row in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if levels else []
-    tree = Tree(np.array(few, np.int64).view(_U), levels, r)
-
-    def route(batches):
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False)
-            shard, at = tree.route(x.view(_U))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(x[at])], names=["shard", "fp"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["fp"].to_numpy())
@@ -209,7 +200,7 @@ def links(fps: DataFrame, r: int) -> DataFrame:
         on = root != np.arange(len(x))
         return pd.DataFrame({"a": x[on], "b": x[root[on]]})
 
-    return fps.select("fp").mapInArrow(route, "shard long, fp long").groupBy("shard").applyInPandas(link, "a long, b long")
+    return shards(fps.select("fp"), r).groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def dedup_components(df: DataFrame, k: int = 3, r: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,16 +354,19 @@ def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id stays (nulls last, then by text hash).
 
-    Equal texts are one node (told apart by 64-bit hash); copies fold into one row while they are still spread over the tasks.
-    Texts without a word are all alike and form one group.  Of rows equal in every column one stays.
+    Equal texts are one node: rows are grouped by the text itself, and its hash only deals them.  Copies fold into one row while they are still
+    spread over the tasks.  Texts without a word are all alike and form one group.  Of rows equal in every column one stays.  Null, empty and very
+    long texts count like others; other columns go along whatever their names; an empty table gives no rows.
     """
     tune(docs.sparkSession)
     blank = ~F.rlike(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
-    node = F.when(blank, F.lit(0)).otherwise(F.xxhash64("text"))
+    same = F.when(blank, F.lit("")).otherwise(F.col("text"))
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.xxhash64(row).alias("r"))
-    kept = docs.select(node.alias("__node"), order.alias("__order"), row.alias("__row")).groupBy("__node")
-    first = cut(kept.agg(F.min("__order").alias("__order"), F.min_by("__row", "__order").alias("__row")))
+    kept = docs.select(same.alias("__text"), order.alias("__order"), row.alias("__row")).groupBy(F.xxhash64("__text").alias("__h"), "__text")
+    kept = kept.agg(F.min("__order").alias("__order"), F.min_by("__row", "__order").alias("__row"))
+    # a number of its own for every text, fixed by being written
+    first = cut(kept.select(F.monotonically_increasing_id().alias("__node"), "__order", "__row"))
     nodes = first.select("__node", "__order")
     text = F.col(f"__row.c{docs.columns.index('text')}")
     first = first.select("__node", text.alias("text"), "__row")
