@@ -4,11 +4,12 @@ score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^
 text.  A text's features are its distinct hashed words, each 1 / sqrt(their number), the standardised statistics of `STATS`, and
 the binned length that the row states (n_chars, where the table has it).
 
-Fitting takes at most SAMPLE labelled rows, the first by hash of their id; only their features reach the driver.
+Fitting takes at most SAMPLE labelled rows (ids first by hash, then rows by hash of their features); only their features reach the driver.
 Scoring covers every row; the model (BUCKETS x (1 + FACTORS) numbers) is broadcast.
 
 Defined cases: null and empty texts score as texts without words; a missing or null n_chars has a bin of its own; null labels and
-labels without a text teach nothing; without a label every score is 0.5; columns with clashing names are not looked at.
+labels without a text teach nothing; of labels of one id the largest counts; rows that repeat an id all teach, within the bound; a text counts
+whole, however long; without a label every score is 0.5; columns with clashing names are not looked at.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 out += [(stats[i].tobytes(), bucket[first[i] : first[i] + n[i]].tobytes()) for i in range(len(o) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), b.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["y", "n", "stats", "words"])
 
-    got = rows.mapInArrow(run, "y int, n double, stats binary, words binary").orderBy(F.xxhash64("stats", "words"), "y").toArrow()
+    got = rows.mapInArrow(run, "y int, n double, stats binary, words binary").orderBy(F.xxhash64("stats", "words"), "y").limit(sample).toArrow()
     y = got.column("y").to_numpy().astype(np.float64) > 0
     if len(y) == 0:
         return {"w0": 0.0, "w": np.zeros(_width(), np.float32), "v": np.zeros((_width(), FACTORS), np.float32), "mean": np.zeros(len(STATS)), "scale": np.ones(len(STATS))}

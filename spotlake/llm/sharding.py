@@ -7,7 +7,7 @@ own siblings: rows move into or out of the subtree whose weight changed and nowh
 a region of its own, so the other subtrees keep their weights and rows move only into the new shard.
 
 Defined cases: a null key is one key like any other; a null text has size 1 and checksum 0; equal rows get different slots
-in either order; an empty table gives no rows; columns other than the key and the text are ignored.
+in either order; a text counts whole, however long; an empty table gives no rows; columns other than the key and the text are ignored.
 """
 
 from __future__ import annotations
@@ -75,10 +75,11 @@ def place(df: DataFrame, cluster: list[Shard], key: str, out: str) -> DataFrame:
     k = F.coalesce(F.col(key).cast("string"), F.lit("\u0000null"))
     region, rack = f"__{out}_region", f"__{out}_rack"
     racks = {g: _weights([s for s in cluster if s.region == g], lambda s: s.rack) for g in {s.region for s in cluster}}
-    leaves = {c: _weights([s for s in cluster if s.rack == c], lambda s: f"shard{s.number}") for c in {s.rack for s in cluster}}
+    # regions may give their racks the same names
+    leaves = {(g, c): _weights([s for s in cluster if (s.region, s.rack) == (g, c)], lambda s: f"shard{s.number}") for g in racks for c in racks[g]}
     df = df.withColumn(region, _least(k, _weights(cluster, lambda s: s.region)))
     df = df.withColumn(rack, _case(F.col(region), {g: _least(k, racks[g]) for g in sorted(racks)}))
-    leaf = _case(F.col(rack), {c: _least(k, leaves[c]) for c in sorted(leaves)})
+    leaf = _case(F.col(region), {g: _case(F.col(rack), {c: _least(k, leaves[g, c]) for c in sorted(racks[g])}) for g in sorted(racks)})
     return df.withColumn(out, F.substring(leaf, 6, 20).cast("int")).drop(region, rack)
 
 

@@ -21,21 +21,28 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a master that runs in this very process (as in
+    tests) gets a folder of its own, and a cluster its warehouse, which it shares as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spotlake-"))
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spotlake-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/spotlake-work")
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again: lineage ends, a lost executor costs no recomputation."""
+    """Write df to the shared folder as Parquet and read it again: lineage ends, a lost executor costs no recomputation.
+
+    What was written is deleted when the driver ends; until then results may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spotlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
