@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .scalar import is_likely_skimmer, mode_token
 
-#: Unicode whitespace at both ends.
-_ENDS = "(?U)^\\s+|\\s+$"
+#: Unicode whitespace.
+WHITE = "\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# What a node asks for, and how long a line that ends in `>` may be to be a prompt.
+PROMPTS = ("login:", "call:", "callsign:", "please enter your call", "password:")
+PROMPT_BYTES = 30
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def _left(c: Column, n: Column) -> Column:
@@ -52,21 +55,18 @@ def comment_and_time(rest: Column) -> tuple[Column, Column]:
     return F.nullif(_trim(_left(rest, cut)), F.lit("")), time
 
 
-def tokens(comment: Column) -> Column:
-    return F.split(_trim(comment), "(?U)\\s+")
-
-
-def skimmer_fields(t: Column) -> Column:
+def skimmer_fields(comment: Column) -> Column:
     """Signal, speed, CQ and mode of a comment's tokens; null without a comment."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1)))
+    text = F.coalesce(comment, F.lit(""))
 
     def last(unit: str, number: str, kind: str, lo: int, hi: int) -> Column:
         """The last number in range that stands before the unit."""
-        fits = lambda i: F.when(F.try_element_at(t, i + 1).rlike(f"^(?i:{unit})$") & F.try_element_at(t, i).rlike(number), F.try_element_at(t, i).try_cast("int"))
-        return F.try_element_at(F.filter(F.transform(places, fits), lambda x: x.between(lo, hi)), F.lit(-1)).cast(kind)
+        found = F.regexp_extract_all(text, F.lit(f"(?U)(?<!\\S)({number})\\s+(?i:{unit})(?!\\S)"), F.lit(1))
+        return F.try_element_at(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.between(lo, hi)), F.lit(-1)).cast(kind)
 
-    snr, wpm = last("db", "^[+-]?[0-9]+$", "tinyint", -128, 127), last("wpm", "^[+]?[0-9]+$", "int", 0, 65535)
-    return F.when(t.isNotNull(), F.struct(snr.alias("snr_db"), wpm.alias("wpm"), F.exists(t, lambda x: x.rlike("^(?i:cq)$")).alias("is_cq"), mode_token(F.try_element_at(t, F.lit(1))).alias("mode")))
+    snr, wpm = last("db", "[+-]?[0-9]+", "tinyint", -128, 127), last("wpm", "[+]?[0-9]+", "int", 0, 65535)
+    cq, mode = text.rlike("(?U)(?<!\\S)(?i:cq)(?!\\S)"), mode_token(F.regexp_extract(text, "(?U)^\\s*(\\S+)", 1))
+    return F.when(comment.isNotNull(), F.struct(snr.alias("snr_db"), wpm.alias("wpm"), cq.alias("is_cq"), mode.alias("mode")))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -78,12 +78,15 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def parse_lines(df: DataFrame, value: str = "value") -> DataFrame:
-    """df with kind (Spot, Announce, Propagation, Prompt, Unknown), text, and the spot's columns, null for other kinds."""
-    df = _once(df, text=F.coalesce(F.regexp_replace(F.col(value), "(?U)\\s+$", ""), F.lit("")))
+    """df with kind (Spot, Announce, Propagation, Prompt, Unknown), text, and the spot's columns, null for other kinds.
+
+    What later parts share is worked out once; the rest are plain columns, which are not computed where nobody asks for them.
+    """
+    df = df.withColumn("text", F.coalesce(F.rtrim(F.col(value), F.lit(WHITE)), F.lit("")))
     after = _from(F.col("text"), F.lit(7))
     colon = F.instr(after, ":")
     is_dx = (F.lower(F.substring("text", 1, 6)) == "dx de ") & (F.octet_length(F.substring("text", 1, 6)) == 6) & (colon > 1)
-    df = _once(df, _spotter=F.when(is_dx, _trim(_left(after, colon - 1))), _rest=F.when(is_dx, F.regexp_replace(_from(after, colon + 1), "(?U)^\\s+", "")))
+    df = _once(df, _spotter=F.when(is_dx, _trim(_left(after, colon - 1))), _rest=F.when(is_dx, F.ltrim(_from(after, colon + 1), F.lit(WHITE))))
     number = F.regexp_replace(F.regexp_extract("_rest", "(?U)^(\\S+)", 1), "^[^0-9.]+|[^0-9.]+$", "")
     df = _once(df, _number=number, _dx=F.regexp_extract("_rest", "(?U)^\\S+\\s+(\\S+)", 1))
     df = _once(df, _hz=parse_freq(F.col("_number")))
@@ -93,9 +96,10 @@ def parse_lines(df: DataFrame, value: str = "value") -> DataFrame:
     df = _once(df, _spot=spot, _tail=F.when(spot, tail))
     comment, minute = comment_and_time(F.col("_tail"))
     df = _once(df, comment=comment, utc_minute=minute)
-    df = _once(df, _tokens=tokens(F.col("comment")))
     low, text = F.lower("text"), F.col("text")
-    prompt = F.contains(low, F.lit("login:")) | F.contains(low, F.lit("call:")) | F.contains(low, F.lit("callsign:")) | F.contains(low, F.lit("please enter your call")) | F.contains(low, F.lit("password:")) | (text.endswith(">") & (F.octet_length(text) < 30))
+    prompt = text.endswith(">") & (F.octet_length(text) < PROMPT_BYTES)
+    for cue in PROMPTS:
+        prompt = prompt | F.contains(low, F.lit(cue))
     kind = (
         F.when(F.col("_spot"), "Spot")
         .when(text.startswith("To ") & F.contains(_from(text, F.lit(4)), F.lit(" de ")), "Announce")
@@ -104,8 +108,8 @@ def parse_lines(df: DataFrame, value: str = "value") -> DataFrame:
         .otherwise("Unknown")
     )
     pick = lambda c: F.when(F.col("_spot"), F.col(c))
-    df = _once(df, kind=kind, spotter_call=pick("_spotter"), dx_call=pick("_dx"), freq_hz=pick("_hz"), skimmer_fields=skimmer_fields(F.col("_tokens")))
-    return df.drop("_spotter", "_rest", "_number", "_hz", "_dx", "_spot", "_tail", "_tokens")
+    df = df.withColumns({"kind": kind, "spotter_call": pick("_spotter"), "dx_call": pick("_dx"), "freq_hz": pick("_hz"), "skimmer_fields": skimmer_fields(F.col("comment"))})
+    return df.drop("_spotter", "_rest", "_number", "_hz", "_dx", "_spot", "_tail")
 
 
 def originator(spotter: Column, policy: Column) -> Column:

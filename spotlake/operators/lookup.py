@@ -10,32 +10,44 @@ from pyspark.sql import functions as F
 from ..plans.config import CONTINENT, ConfigError
 
 ENTITY = "key string, exact boolean, entity string, continent string, cq_zone int, itu_zone int, lat double, lon double, primary_prefix string"
-#: Bytes of a dimension that is broadcast; beyond it the join shuffles.
-BROADCAST = 64 << 20
+
+
+def _records(text: str) -> list[tuple[str, str]]:
+    """(header, prefixes) of a country file: a header begins its line, indented lines go on; blank lines and those that begin with # do not count."""
+    out: list[list[str]] = []
+    for line in text.splitlines():
+        words = line.strip()
+        if not words or words.startswith("#"):
+            continue
+        if line[0] in " \t":
+            if out:
+                out[-1].append(words)
+        else:
+            out.append([words])
+    return [(r[0], " ".join(r[1:])) for r in out]
 
 
 def parse_entities(text: str) -> list[tuple]:
-    """Rows of `ENTITY` from the country file: a header line up to `:`-ended prefix, then prefixes up to `;`.  The first of equal keys counts."""
+    """Rows of `ENTITY` from the country file.  The first of equal keys counts."""
     out: dict[tuple[str, bool], tuple] = {}
-    for record in text.split(";"):
-        lines = [line for line in record.splitlines() if line.strip()]
-        if not lines:
-            continue
-        name, colon, rest = lines[0].partition(":")
+    for header, prefixes in _records(text):
+        name, colon, rest = header.partition(":")
         fields = rest.split()
         if not colon or len(fields) < 7:
-            raise ConfigError(f"invalid header: {lines[0]}")
+            raise ConfigError(f"invalid header: {header}")
         try:
             cq, itu, lat, lon = int(fields[0]), int(fields[1]), float(fields[3]), float(fields[4])
         except ValueError as e:
-            raise ConfigError(f"invalid header: {lines[0]}") from e
+            raise ConfigError(f"invalid header: {header}") from e
+        if not (0 <= cq < 256 and 0 <= itu < 256):
+            raise ConfigError(f"invalid header: {header}")
         if fields[2] not in CONTINENT[:-1]:
             raise ConfigError(f"unknown continent: {fields[2]}")
         prefix = fields[-1].rstrip(":")
         about = (name.strip().lstrip("*"), fields[2])
         out.setdefault((prefix.upper(), False), (*about, cq, itu, lat, lon, prefix))
-        for raw in ",".join(lines[1:]).split(","):
-            raw = raw.strip()
+        for raw in prefixes.split(","):
+            raw = raw.strip().rstrip(";")
             exact = raw.startswith("=")
             raw = raw[exact:].split("~")[0]
             zones = {"(": cq, "[": itu}
@@ -49,6 +61,11 @@ def parse_entities(text: str) -> list[tuple]:
     return [(k, exact, *v) for (k, exact), v in out.items()]
 
 
+def counts(text: str) -> tuple[int, int]:
+    """(entities, prefixes) of a country file; exact calls are not prefixes."""
+    return len(_records(text)), sum(not exact for _, exact, *_ in parse_entities(text))
+
+
 def entity_table(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(parse_entities(text), ENTITY)
 

@@ -8,65 +8,82 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import whole_seconds
 from ..plans.config import SkimmerQuality
+from .observations import ORDER, arrival
+from .store import stored
 from .windows import last_tick
 
 _S = 1_000_000
 
 
+SKIM = [*ORDER, "dx_call_norm", "freq_hz", "spotter_call_norm"]
+
+
 def corroboration(skims: DataFrame, cfg: SkimmerQuality = SkimmerQuality()) -> DataFrame:
-    """skims(seq, t_us, dx_call_norm, freq_hz, spotter_call_norm) with `distinct_skimmers` near each report, itself included.
+    """skims(`SKIM`) with `distinct_skimmers` near each report, itself included.
 
     Reports of a call meet within time slices of the lookback, each in its own and the next, so a hot call is spread over
-    its slices and the join is an equi-join; only distinct skimmers of a report are kept while counting.
+    its slices and the join is an equi-join; only distinct skimmers of a report are kept while counting.  A report meets itself, so none is lost.
     """
     width = (cfg.lookback_secs + 1) * _S
     slot = F.floor(F.col("t_us") / width)
-    new = skims.select("seq", "t_us", "dx_call_norm", "freq_hz", slot.alias("slot"))
-    old = skims.select(F.col("seq").alias("o_seq"), F.col("t_us").alias("o_t"), "dx_call_norm", F.col("freq_hz").alias("o_f"), "spotter_call_norm", F.explode(F.array(slot, slot + 1)).alias("slot"))
-    near = (F.col("o_seq") <= F.col("seq")) & (F.abs(F.col("freq_hz") - F.col("o_f")) <= cfg.freq_window_hz) & (whole_seconds(F.col("t_us"), F.col("o_t")) <= cfg.lookback_secs)
-    counts = new.join(old, ["dx_call_norm", "slot"]).where(near).groupBy("seq").agg(F.count_distinct("spotter_call_norm").alias("distinct_skimmers"))
-    return skims.join(counts, "seq", "left").withColumn("distinct_skimmers", F.coalesce("distinct_skimmers", F.lit(0)).cast("int"))
+    new = skims.select(*SKIM, slot.alias("slot"))
+    old = skims.select(*[F.col(c).alias(f"o_{c}") for c in (*ORDER, "freq_hz", "spotter_call_norm")], "dx_call_norm", F.explode(F.array(slot, slot + 1)).alias("slot"))
+    near = (arrival("o_") <= arrival()) & (F.abs(F.col("freq_hz") - F.col("o_freq_hz")) <= cfg.freq_window_hz) & (whole_seconds(F.col("t_us"), F.col("o_t_us")) <= cfg.lookback_secs)
+    counts = new.join(old, ["dx_call_norm", "slot"]).where(near).groupBy(*SKIM).agg(F.count_distinct("o_spotter_call_norm").alias("distinct_skimmers"))
+    return counts.withColumn("distinct_skimmers", F.col("distinct_skimmers").cast("int"))
 
 
 def tags(skims: DataFrame, cfg: SkimmerQuality = SkimmerQuality(), tick_secs: int = 10, origin_us: int = 0) -> DataFrame:
-    """skims with `skim_quality` and its detail: corroborating skimmers, previous verified frequency, similar call and its distance."""
-    rows = corroboration(skims, cfg)
+    """skims(`SKIM`) with `skim_quality` and its detail: corroborating skimmers, previous verified frequency, similar call and its distance.
+
+    The reports are stored once as they come and once counted; every join after that reads narrow rows.  The previous verification is looked
+    for among a call's rows of one slice of time, and if the slice has none before the row, it is the last one of the slice before: a slice is as
+    long as a verification can be visible, so a busy call is spread over its slices.
+    """
+    rows = corroboration(stored(skims.select(*SKIM)), cfg)
     verified = (F.col("distinct_skimmers") >= cfg.required_distinct_skimmers) & F.lit(cfg.compute_valid)
-    w = W.partitionBy("dx_call_norm").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    prev = F.last(F.when(verified, F.struct(F.col("freq_hz").alias("f"), F.col("t_us").alias("t"))), ignorenulls=True).over(w)
-    rows = rows.withColumns({"_v": verified, "_p": prev})
+    slice_us = (2 * cfg.lookback_secs + tick_secs + 1) * _S
+    rows = stored(rows.withColumns({"_v": verified, "_part": F.floor(F.col("t_us") / slice_us)}))
+    seen = F.struct(F.col("freq_hz").alias("f"), F.col("t_us").alias("t"))
+    w = W.partitionBy("dx_call_norm", "_part").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    rest = rows.where("_v").groupBy("dx_call_norm", (F.col("_part") + 1).alias("_part")).agg(F.max_by(seen, arrival()).alias("_before"))
+    rows = rows.withColumn("_own", F.last(F.when(F.col("_v"), seen), ignorenulls=True).over(w)).join(rest, ["dx_call_norm", "_part"], "left")
+    rows = rows.withColumn("_p", F.coalesce("_own", "_before")).drop("_own", "_before", "_part")
     tick = last_tick(F.col("t_us"), tick_secs, origin_us)
     # a verification is forgotten only at a tick, once twice the lookback has passed
     visible = F.coalesce(whole_seconds(tick, F.col("_p.t")) <= 2 * cfg.lookback_secs, F.lit(False))
     moved = visible & (F.abs(F.col("freq_hz") - F.col("_p.f")) > cfg.qsy_freq_hz) & F.lit(cfg.compute_qsy)
     rows = rows.withColumn("previous_freq_hz", F.when(visible, F.col("_p.f"))).withColumn("_moved", F.coalesce(moved, F.lit(False)))
-    busts = _similar(rows, cfg, tick_secs, origin_us) if cfg.compute_busted else None
-    if busts is not None:
-        rows = rows.join(busts, "seq", "left")
+    if cfg.compute_busted:
+        rows = stored(rows.drop("_p"))
+        rows = rows.join(_similar(rows, cfg, tick_secs, origin_us), ORDER, "left")
     else:
         rows = rows.withColumns({"similar_call": F.lit(None).cast("string"), "edit_distance": F.lit(None).cast("int")})
     tag = F.when(F.col("_v") & F.col("_moved"), "Qsy").when(F.col("_v"), "Valid").when(F.col("similar_call").isNotNull(), "Busted").otherwise("Unknown")
-    return rows.withColumn("skim_quality", tag).drop("_v", "_p", "_moved")
+    return rows.withColumn("skim_quality", tag).select(*SKIM, "distinct_skimmers", "previous_freq_hz", "similar_call", "edit_distance", "skim_quality")
 
 
 def _similar(rows: DataFrame, cfg: SkimmerQuality, tick_secs: int, origin_us: int) -> DataFrame:
-    """(seq, similar_call, edit_distance): the nearest other call whose standing verification lies close by.
+    """(`ORDER`, similar_call, edit_distance): the nearest other call whose standing verification lies close by.
 
     A verification stands from its row to the call's next one.  It is put into the frequency bands it can reach and into every slice of its
     standing time, which twice the lookback and a tick bound; reports look into one band and slice.
     """
     width = max(1, cfg.busted_freq_hz)
     slice_us = (2 * cfg.lookback_secs + tick_secs + 1) * _S
-    w = W.partitionBy("dx_call_norm").orderBy("seq")
-    v = rows.where("_v").select(F.col("dx_call_norm").alias("v_call"), F.col("freq_hz").alias("v_f"), F.col("t_us").alias("v_t"), F.col("seq").alias("v_seq"), F.lead("seq").over(w).alias("v_next"))
-    band, part = F.floor(F.col("v_f") / width), F.floor(F.col("v_t") / slice_us)
+    v = rows.where("_v").select(F.col("dx_call_norm").alias("v_call"), F.col("freq_hz").alias("v_f"), F.col("t_us").alias("v_t"), arrival().alias("v_at"), F.floor(F.col("t_us") / slice_us).alias("v_part"))
+    # the next verification counts only if it comes in this slice or the next one
+    later = v.groupBy("v_call", (F.col("v_part") - 1).alias("v_part")).agg(F.min("v_at").alias("_later"))
+    v = v.withColumn("v_next", F.lead("v_at").over(W.partitionBy("v_call", "v_part").orderBy("v_at"))).join(later, ["v_call", "v_part"], "left")
+    v = v.withColumn("v_next", F.coalesce("v_next", "_later")).drop("_later")
+    band, part = F.floor(F.col("v_f") / width), F.col("v_part")
     v = v.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("part", F.explode(F.array(part, part + 1)))
-    ask = rows.where(~F.col("_v")).select("seq", "t_us", "dx_call_norm", "freq_hz", F.floor(F.col("freq_hz") / width).alias("band"), F.floor(F.col("t_us") / slice_us).alias("part"))
-    stands = (F.col("v_seq") < F.col("seq")) & (F.col("v_next").isNull() | (F.col("v_next") > F.col("seq"))) & (F.abs(F.col("freq_hz") - F.col("v_f")) <= cfg.busted_freq_hz) & (F.col("v_call") != F.col("dx_call_norm"))
+    ask = rows.where(~F.col("_v")).select(*ORDER, "dx_call_norm", "freq_hz", F.floor(F.col("freq_hz") / width).alias("band"), F.floor(F.col("t_us") / slice_us).alias("part"))
+    stands = (F.col("v_at") < arrival()) & (F.col("v_next").isNull() | (F.col("v_next") > arrival())) & (F.abs(F.col("freq_hz") - F.col("v_f")) <= cfg.busted_freq_hz) & (F.col("v_call") != F.col("dx_call_norm"))
     fresh = whole_seconds(last_tick(F.col("t_us"), tick_secs, origin_us), F.col("v_t")) <= 2 * cfg.lookback_secs
     met = ask.join(v, ["band", "part"]).where(stands & fresh).withColumn("edit_distance", F.levenshtein("v_call", "dx_call_norm", cfg.busted_max_edit)).where(F.col("edit_distance") >= 0)
-    best = met.groupBy("seq").agg(F.min(F.struct("edit_distance", "v_call")).alias("b"))
-    return best.select("seq", F.col("b.v_call").alias("similar_call"), F.col("b.edit_distance").alias("edit_distance"))
+    best = met.groupBy(*ORDER).agg(F.min(F.struct("edit_distance", "v_call")).alias("b"))
+    return best.select(*ORDER, F.col("b.v_call").alias("similar_call"), F.col("b.edit_distance").alias("edit_distance"))
 
 
 def should_emit(tag: Column, kind: Column, cfg: SkimmerQuality = SkimmerQuality()) -> Column:

@@ -13,14 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.config import AggregatorConfig, Correlation
-from .observations import CALL_BAND_MODE
+from ..plans.config import AggregatorConfig, FilterConfig
+from .observations import CALL_BAND_MODE, ORDER
 
 _S = 1_000_000
-EVENT = "dx_call_norm string, band string, mode string, freq_bucket_hz long, at_us long, seq long, step int, kind string, revision long, dx_call string, freq_hz long, first_seen_us long, last_seen_us long, comment string, unique_originators int, unique_sources int, n_observations int, skim_quality string, confidence string"
+EVENT = "dx_call_norm string, band string, mode string, freq_bucket_hz long, at_us long, source_id string, seq long, step int, kind string, revision long, dx_call string, freq_hz long, first_seen_us long, last_seen_us long, comment string, unique_originators int, unique_sources int, n_observations int, skim_quality string, confidence string"
 COLUMNS = [f.split()[0] for f in EVENT.split(", ")]
 #: What a row must hold.
-INPUT = [*CALL_BAND_MODE, "freq_bucket_hz", "seq", "t_us", "source_id", "originator_kind", "spotter_call_norm", "dx_call", "freq_hz", "comment", "skim_quality", "passes"]
+INPUT = [*CALL_BAND_MODE, "freq_bucket_hz", *ORDER, "originator_kind", "spotter_call_norm", "dx_call", "freq_hz", "comment", "skim_quality", "passes", "text_ok", "text_cq", "row_cq"]
+
+
+def needed(rows: DataFrame) -> DataFrame:
+    return rows.select(*INPUT)
 
 
 def _floor_seconds(us: int) -> int:
@@ -30,22 +34,23 @@ def _floor_seconds(us: int) -> int:
 class SpotMachine:
     """State of one call, band and mode."""
 
-    def __init__(self, config: AggregatorConfig, correlation: Correlation = Correlation(), origin_us: int = 0):
-        self.cfg, self.rule, self.origin = config, correlation, origin_us
+    def __init__(self, config: AggregatorConfig, rules: FilterConfig = FilterConfig(), origin_us: int = 0):
+        self.cfg, self.rules, self.origin = config, rules.compiled(), origin_us
         self.entries: dict[int, dict] = {}
         self.out: int | None = None
-        self.tick_done: int | None = None
+        #: rows that a rule on counts or content, or `passes`, kept from being an event
+        self.dropped = 0
 
     # -- life --
 
-    def _event(self, bucket: int, kind: str, at: int, seq: int | None, step: int) -> dict:
+    def _event(self, bucket: int, kind: str, at: int, row: dict | None, step: int) -> dict:
         e = self.entries[bucket]
         return {
-            "freq_bucket_hz": bucket, "at_us": at, "seq": seq, "step": step, "kind": kind, "revision": e["revision"], "dx_call": e["dx_call"], "freq_hz": e["freq"], "first_seen_us": e["first"], "last_seen_us": e["last"],
+            "freq_bucket_hz": bucket, "at_us": at, "source_id": row and row["source_id"], "seq": row and row["seq"], "step": step, "kind": kind, "revision": e["revision"], "dx_call": e["dx_call"], "freq_hz": e["freq"], "first_seen_us": e["first"], "last_seen_us": e["last"],
             "comment": e["comment"], "unique_originators": min(len(e["who"]), 255), "unique_sources": min(len(e["sources"]), 255), "n_observations": len(e["obs"]), "skim_quality": e["tag"], "confidence": "Unverified",
         }
 
-    def _drop(self, bucket: int) -> None:
+    def drop(self, bucket: int) -> None:
         del self.entries[bucket]
         if self.out == bucket:
             self.out = None
@@ -64,18 +69,19 @@ class SpotMachine:
         out = []
         for at, b in gone:
             out.append(self._event(b, "Withdraw", at, None, 0))
-            self._drop(b)
+            self.drop(b)
         return out
 
-    def _ingest(self, r: dict) -> tuple[dict, bool]:
+    def _ingest(self, r: dict) -> dict:
         b, new = r["freq_bucket_hz"], r["freq_bucket_hz"] not in self.entries
         if new:
-            self.entries[b] = {"first": r["t_us"], "dx_call": r["dx_call"], "comment": None, "revision": 0, "who": set(), "humans": set(), "sources": set(), "obs": [], "emitted": None, "tag": None}
+            self.entries[b] = {"first": r["t_us"], "dx_call": r["dx_call"], "comment": None, "revision": 0, "who": set(), "humans": set(), "sources": set(), "obs": [], "emitted": None, "tag": None, "text_ok": r["text_ok"], "text_cq": r["text_cq"]}
         e = self.entries[b]
         e["revision"] += 1
         e["last"], e["freq"] = r["t_us"], r["freq_hz"]
         if r["comment"] is not None:
-            e["comment"] = r["comment"]
+            # content rules judge the spot's last comment, whichever row brought it
+            e["comment"], e["text_ok"], e["text_cq"] = r["comment"], r["text_ok"], r["text_cq"]
         e["who"].add(r["spotter_call_norm"])
         if r["originator_kind"] == "Human":
             e["humans"].add(r["spotter_call_norm"])
@@ -84,19 +90,21 @@ class SpotMachine:
         del e["obs"][: -self.cfg.max_observations]
         if r["skim_quality"] is not None:
             e["tag"] = r["skim_quality"]
-        return e, new
+        return e
 
     def _enough(self, e: dict) -> bool:
-        c, n = self.rule, len(e["obs"])
+        c, n = self.rules.correlation, len(e["obs"])
         who = min(len(e["humans" if c.originators_human_only else "who"]), 255)
         return who >= c.min_unique_originators and min(len(e["sources"]), 255) >= c.min_unique_sources and min(n, 255) >= c.min_observations and min(n, 255) >= c.min_repeats_same_key
 
     def observe(self, r: dict) -> list[dict]:
-        """Events of the ticks before a row and of the row itself.  `passes` holds the gate and all rules that need no counts."""
+        """Events of the ticks before a row and of the row itself.  `passes` holds the gate and all rules that look at the row alone."""
         t, b, d = r["t_us"], r["freq_bucket_hz"], self.cfg.dedupe
         out = self.tick(t - (t - self.origin) % (self.cfg.tick_secs * _S))
-        e, _ = self._ingest(r)
-        if not (r["passes"] and self._enough(e)):
+        e = self._ingest(r)
+        content = e["text_ok"] and (r["row_cq"] or e["text_cq"])
+        if not (r["passes"] and content and self._enough(e)):
+            self.dropped += 1
             return out
         if e["emitted"] is None:
             kind = "New"
@@ -111,9 +119,9 @@ class SpotMachine:
                 gap = t - self.entries[old]["emitted"] if self.entries[old]["emitted"] is not None else None
                 quiet = d.qsy_coalesce_us is not None and gap is not None and 0 <= gap < d.qsy_coalesce_us
                 if not quiet:
-                    out.append(self._event(old, "Withdraw", t, r["seq"], 0))
+                    out.append(self._event(old, "Withdraw", t, r, 0))
                 del self.entries[old]
-        out.append(self._event(b, kind, t, r["seq"], 1))
+        out.append(self._event(b, kind, t, r, 1))
         return out
 
     # -- in and out of a state store --
@@ -129,7 +137,7 @@ class SpotMachine:
         return self
 
 
-def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
+def rows_of(pdf: pd.DataFrame) -> Iterator[dict]:
     cols = {c: pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in INPUT}
     for values in zip(*cols.values()):
         yield dict(zip(cols, values))
@@ -140,10 +148,10 @@ def frame(events: list[tuple[tuple, dict]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS).astype({"seq": "Int64"})
 
 
-def events(rows: DataFrame, config: AggregatorConfig = AggregatorConfig(), correlation: Correlation = Correlation(), origin_us: int = 0, end_us: int | None = None) -> DataFrame:
+def events(rows: DataFrame, config: AggregatorConfig = AggregatorConfig(), rules: FilterConfig = FilterConfig(), origin_us: int = 0, end_us: int | None = None) -> DataFrame:
     """The changelog of keyed rows (`INPUT`): one shuffle by call, band and mode, then each key's rows stream by in order through its machine.
 
-    end_us is where time stops (ticks after it do not run); by default at the last row.
+    end_us is where time stops (ticks after it do not run); by default at the last row, which takes a second pass over rows' times.
     """
     if end_us is None:
         end_us = rows.agg(F.max("t_us")).first()[0] or 0
@@ -152,16 +160,16 @@ def events(rows: DataFrame, config: AggregatorConfig = AggregatorConfig(), corre
         key, machine = None, None
         for pdf in batches:
             out: list = []
-            for r in _rows(pdf):
+            for r in rows_of(pdf):
                 k = (r["dx_call_norm"], r["band"], r["mode"])
                 if k != key:
                     if machine:
                         out += [(key, e) for e in machine.tick(end_us)]
-                    key, machine = k, SpotMachine(config, correlation, origin_us)
+                    key, machine = k, SpotMachine(config, rules, origin_us)
                 out += [(k, e) for e in machine.observe(r)]
             yield frame(out)
         if machine:
             yield frame([(key, e) for e in machine.tick(end_us)])
 
-    ordered = rows.select(*INPUT).repartition(*CALL_BAND_MODE).sortWithinPartitions(*CALL_BAND_MODE, "seq")
+    ordered = rows.select(*INPUT).repartition(*CALL_BAND_MODE).sortWithinPartitions(*CALL_BAND_MODE, *ORDER)
     return ordered.mapInPandas(run, EVENT)

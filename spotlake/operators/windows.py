@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import saturate, whole_seconds
-from .observations import CALL_BAND_MODE, KEY
+from .observations import CALL_BAND_MODE, KEY, ORDER, arrival
+from .store import stored
 
 _S = 1_000_000
 
@@ -31,7 +32,7 @@ def withdraw_time(t: Column, ttl_secs: int = 900, tick_secs: int = 10, origin_us
 
 def incarnations(rows: DataFrame, ttl_secs: int = 900, tick_secs: int = 10, origin_us: int = 0, key: list[str] = KEY) -> DataFrame:
     """rows with `incarnation`, counted from 0 by key."""
-    w = W.partitionBy(*key).orderBy("seq")
+    w = W.partitionBy(*key).orderBy(*ORDER)
     before = F.lag("t_us").over(w)
     broke = before.isNotNull() & (whole_seconds(last_tick(F.col("t_us"), tick_secs, origin_us), before) > ttl_secs)
     return rows.withColumn("_b", broke.cast("int")).withColumn("incarnation", F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
@@ -40,37 +41,41 @@ def incarnations(rows: DataFrame, ttl_secs: int = 900, tick_secs: int = 10, orig
 def running(rows: DataFrame, max_observations: int = 20, key: list[str] = KEY) -> DataFrame:
     """rows(with incarnation) with the entry's state after each row: counts, revision, first and last seen, comment, first call, observations.
 
-    Sets grow with their incarnation, which ends after a TTL without a row.
+    A distinct count is the running sum of first occurrences, so nothing grows with an incarnation; all windows share one partitioning.
     """
-    w = W.partitionBy(*key, "incarnation").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    last = W.partitionBy(*key, "incarnation").orderBy("seq").rowsBetween(-(max_observations - 1), 0)
-    human = F.when(F.col("originator_kind") == "Human", F.col("spotter_call_norm"))
+    of = [*key, "incarnation"]
+    w = W.partitionBy(*of).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    last = W.partitionBy(*of).orderBy(*ORDER).rowsBetween(-(max_observations - 1), 0)
+    first = lambda *c: (F.row_number().over(W.partitionBy(*of, *c).orderBy(*ORDER)) == 1).cast("int")
+    human = (F.col("originator_kind") == "Human").cast("int")
+    rows = rows.withColumns({"_who": first("spotter_call_norm"), "_human": first("spotter_call_norm", "originator_kind") * human, "_source": first("source_id")})
     kept = F.least(F.count(F.lit(1)).over(w), F.lit(max_observations))
     obs = F.struct("spotter_call", "source_id", "originator_kind", "t_us", "freq_hz", "comment", F.col("skimmer_fields.snr_db").alias("snr_db"), F.col("skimmer_fields.wpm").alias("wpm"))
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
-            "unique_originators": saturate(F.size(F.collect_set("spotter_call_norm").over(w))), "unique_human_originators": saturate(F.size(F.collect_set(human).over(w))),
-            "unique_sources": saturate(F.size(F.collect_set("source_id").over(w))), "revision": F.count(F.lit(1)).over(w), "first_seen_us": F.first("t_us").over(w), "last_seen_us": F.col("t_us"),
+            "unique_originators": saturate(F.sum("_who").over(w)), "unique_human_originators": saturate(F.sum("_human").over(w)),
+            "unique_sources": saturate(F.sum("_source").over(w)), "revision": F.count(F.lit(1)).over(w), "first_seen_us": F.first("t_us").over(w), "last_seen_us": F.col("t_us"),
             "last_comment": F.last("comment", ignorenulls=True).over(w), "first_dx_call": F.first("dx_call").over(w), "total_observations": saturate(kept), "repeats": saturate(kept), "observations": F.collect_list(obs).over(last),
         }
     )
+    return rows.drop("_who", "_human", "_source")
 
 
 def withdrawals(rows: DataFrame, ttl_secs: int = 900, tick_secs: int = 10, origin_us: int = 0) -> DataFrame:
     """One TTL withdrawal for each incarnation that expires before the input ends (QSY detection off)."""
-    end = rows.agg(F.max("t_us").alias("end_us"))
-    last = rows.groupBy(*KEY, "incarnation").agg(F.max_by("t_us", "seq").alias("last_seen_us"), F.count(F.lit(1)).alias("revision"))
-    out = last.withColumn("at_us", withdraw_time(F.col("last_seen_us"), ttl_secs, tick_secs, origin_us))
-    return out.join(F.broadcast(end)).where(F.col("at_us") <= F.col("end_us")).drop("end_us")
+    last = rows.groupBy(*KEY, "incarnation").agg(F.max_by("t_us", arrival()).alias("last_seen_us"), F.count(F.lit(1)).alias("revision"), F.max("t_us").alias("_latest"))
+    last = stored(last.withColumn("at_us", withdraw_time(F.col("last_seen_us"), ttl_secs, tick_secs, origin_us)))
+    end_us = last.agg(F.max("_latest")).first()[0]
+    return last.where(F.col("at_us") <= F.lit(end_us)).drop("_latest")
 
 
-def fast_events(rows: DataFrame, ttl_secs: int = 900, tick_secs: int = 10, origin_us: int = 0, coalesce_us: int | None = 200_000) -> DataFrame:
-    """New and QSY Withdraw events where passing does not depend on counts and updates are off.
+def new_events(rows: DataFrame) -> DataFrame:
+    """The rows that open a spot, where passing does not depend on counts and updates are off.
 
     rows must hold `passes` and `incarnation` (from the arrivals of each key).  At most one key of a call, band and mode is out at a time, so a
     passing row opens a spot if the last passing row lies in another bucket, or that bucket's entry has died since.
     """
-    w = W.partitionBy(*CALL_BAND_MODE).orderBy("seq")
+    w = W.partitionBy(*CALL_BAND_MODE).orderBy(*ORDER)
     on = rows.where("passes")
     prev = {c: F.lag(c).over(w) for c in ("freq_bucket_hz", "incarnation")}
     on = on.withColumns({"_pb": prev["freq_bucket_hz"], "_pi": prev["incarnation"]})
@@ -78,14 +83,14 @@ def fast_events(rows: DataFrame, ttl_secs: int = 900, tick_secs: int = 10, origi
     return on.where(new).drop("_pb", "_pi").withColumn("kind", F.lit("New"))
 
 
-def active_view(events: DataFrame, now_us: int, stale_secs: int = 300) -> DataFrame:
+def active_view(events: DataFrame, now_us: int | Column, stale_secs: int = 300) -> DataFrame:
     """What a live display holds: the last event of each key, unless withdrawn or stale."""
     last = events.groupBy(*KEY).agg(F.max_by(F.struct("kind", "freq_hz", "last_seen_us", "revision"), "event_no").alias("e")).select(*KEY, "e.*")
-    return last.where((F.col("kind") != "Withdraw") & (F.col("last_seen_us") >= now_us - stale_secs * _S))
+    return last.where((F.col("kind") != "Withdraw") & (F.col("last_seen_us") >= F.lit(now_us) - stale_secs * _S))
 
 
 def newest(spots: DataFrame, most: int, by: str = "last_seen_us") -> DataFrame:
-    """The `most` entries seen last, ties by key: what a full table keeps."""
+    """The `most` entries seen last, ties by key: what a table cut down to that size keeps."""
     return spots.orderBy(F.col(by).desc(), *KEY).limit(most)
 
 

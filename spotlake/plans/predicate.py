@@ -1,27 +1,21 @@
 """The rule pipeline as one column: the first reason to drop a row, or null.
 
 Only active rules make a branch.  Unknown fields follow the policy, which is settled while compiling; every comparison is made
-safe against nulls.  Lists compile to literals; beyond `LITERALS` entries use a semi or anti join in front instead.
+safe against nulls.  Lists compile to literals.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .config import Correlation, EntityRules, FilterConfig
 from .patterns import compile_set, matches
 
-LITERALS = 200
 SPLIT = "(?Ui)\\b(UP|QSX|SPLIT|QSY)\\b"
 CQ = "(?Ui)\\bCQ\\b"
-#: The columns a row is judged by.
-VIEW = (
-    "now_us", "last_seen_us", "freq_hz", "band", "mode", "dx_call_norm", "spotter_call_norm", "source_id", "originator_kind", "comment", "unique_originators", "unique_human_originators",
-    "unique_sources", "total_observations", "repeats", "snr_db", "wpm", "is_skimmer_dupe", "is_skimmer_cq", "dx_geo", "spotter_geo", "lotw", "in_master_db", "in_callbook", "memberships",
-)
-GEO = "struct<continent:string,cq_zone:int,itu_zone:int,entity:string,country:string,state:string,grid:string>"
-
 
 def unknown_drops(policy: str, allowlist: bool) -> bool:
     """Whether a missing field drops the row, for a rule that lets only some values in or keeps some out."""
@@ -73,8 +67,38 @@ def correlation_drop(c: Correlation) -> Column:
     return F.when(_yes(short), "CorrelationNotMet")
 
 
-def drop_reason(config: FilterConfig, correlation: bool = True) -> Column:
-    """The reason column over `VIEW`; without `correlation` the stage that needs running counts is left to the caller."""
+class Verdict(NamedTuple):
+    """What the rules on a comment say of one text: whether it may pass, and whether it calls CQ."""
+
+    ok: Column
+    cq: Column
+
+
+def _content(cfg: FilterConfig, text: Column, called: Column) -> list[Column]:
+    """The content stage for a comment that is not null; `called` is whether the row or the text calls CQ."""
+    out, c = [], cfg.content
+    if c.suppress_split_qsy:
+        out.append(F.when(text.rlike(SPLIT), "SplitQsySuppressed"))
+    if c.cq_only:
+        out.append(F.when(~called, "CqRequired"))
+    if compile_set(c.comment_deny):
+        out.append(F.when(matches(text, c.comment_deny), "CommentDenied"))
+    if compile_set(c.comment_allow):
+        missing = (text == "") if c.require_comment_when_allowlist_present else F.lit(False)
+        out.append(F.when(missing | ~matches(text, c.comment_allow), "CommentNotAllowed"))
+    return out
+
+
+def comment_verdict(config: FilterConfig, comment: str = "comment") -> Verdict:
+    """The content stage of a comment, apart from the row's own CQ mark: the state machine keeps it beside a spot's last comment."""
+    cfg, text = config.compiled(), F.coalesce(F.col(comment), F.lit(""))
+    reasons = _content(cfg, text, F.lit(True))
+    return Verdict(F.coalesce(*reasons).isNull() if reasons else F.lit(True), text.rlike(CQ) if cfg.content.cq_only else F.lit(True))
+
+
+def drop_reason(config: FilterConfig, correlation: bool = True, content: bool = True) -> Column:
+    """The reason column over a view (`observations.view`); without `correlation` and `content` the stages that need a spot's running
+    counts and comment are left to the caller."""
     cfg, out = config.compiled(), []
     policy, col = cfg.unknown_policy, F.col
     closed = policy == "FailClosed"
@@ -117,15 +141,8 @@ def drop_reason(config: FilterConfig, correlation: bool = True) -> Column:
         if closed and (has_deny or has_allow):
             drop(c.isNull(), "UnknownFieldFailed")
     text = F.coalesce(col("comment"), F.lit(""))
-    if cfg.content.suppress_split_qsy:
-        drop(text.rlike(SPLIT), "SplitQsySuppressed")
-    if cfg.content.cq_only:
-        drop(~(_yes(col("is_skimmer_cq")) | text.rlike(CQ)), "CqRequired")
-    if compile_set(cfg.content.comment_deny):
-        drop(matches(text, cfg.content.comment_deny), "CommentDenied")
-    if compile_set(cfg.content.comment_allow):
-        missing = (text == "") if cfg.content.require_comment_when_allowlist_present else F.lit(False)
-        drop(missing | ~matches(text, cfg.content.comment_allow), "CommentNotAllowed")
+    if content:
+        out += _content(cfg, text, _yes(col("is_skimmer_cq")) | text.rlike(CQ))
     if correlation:
         out.append(correlation_drop(cfg.correlation))
     m = cfg.skimmer

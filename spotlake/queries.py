@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lines, scalar
-from .operators import lookup, observations, pipeline, quality, windows
+from .operators import lookup, observations, pipeline, quality, serial, windows
+from .operators.store import spread, stored
 from .plans.config import AggregatorConfig, Callsigns, Content, Correlation, Dedupe, Enrichment, EntityRules, FilterConfig, Geo, Membership, Patterns, Profile, Rf, SkimmerMetrics, SkimmerQuality, Spotters
 from .plans.predicate import drop_reason
-from .sources.files import format_age, format_band, format_freq, json_lines
+from .sources.files import format_age, format_band, format_freq, format_mode, json_lines, truncate
 
 START = 1_704_067_200_000_000
 STEP = 2_000_000
@@ -38,7 +39,7 @@ OBS = _FIELDS.format(start=START, step=STEP, div="//", events=_DUCK_EVENTS)
 
 
 def event_fields(spark: SparkSession, sf: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    events = spread(spark.read.parquet(f"{sf}/events.parquet")).select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return spark.sql(_FIELDS.format(start=START, step=STEP, div="div", events="select * from {events}"), events=events)
 
 
@@ -56,18 +57,25 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
     return observations.observations(raw_lines(spark, sf))
 
 
+# The twins' ranges are written out by themselves (kHz), so that an edge that is wrong in one place shows.
+_BANDS = "1800-2000 B160, 3500-4000 B80, 5250-5450 B60, 7000-7300 B40, 10100-10150 B30, 14000-14350 B20, 18068-18168 B17, 21000-21450 B15, 24890-24990 B12, 28000-29700 B10, 50000-54000 B6, 144000-148000 B2"
+_USUAL = (
+    "1800-1840 CW, 1840-2000 SSB, 3500-3600 CW, 3600-4000 SSB, 5250-5450 DIG, 7000-7125 CW, 7125-7300 SSB, 10100-10140 CW, 10140-10150 DIG, 14000-14100 CW, 14100-14112 DIG, 14112-14350 SSB, "
+    "18068-18110 CW, 18110-18168 SSB, 21000-21200 CW, 21200-21450 SSB, 24890-24930 CW, 24930-24990 SSB, 28000-28300 CW, 28300-29700 SSB, 50000-50100 CW, 50100-50300 SSB, 50300-50400 DIG, 50400-54000 SSB, "
+    "144000-144150 CW, 144150-144400 SSB, 144400-148000 DIG"
+)
+
+
+def _parts(text: str) -> list[tuple[int, int, str]]:
+    """(lo, hi, name) in Hz, in order: the first range that holds a frequency counts."""
+    return [(int(lo) * 1000, int(hi) * 1000, name) for part in text.split(", ") for span, name in [part.split()] for lo, hi in [span.split("-")]]
+
+
 def _ranges(column: str, parts: list[tuple[int, int, str]]) -> str:
     return "case " + " ".join(f"when {column} between {lo} and {hi} then '{v}'" for lo, hi, v in parts) + " else 'Unknown' end"
 
 
-_BAND = _ranges("freq_hz", [(lo, hi, b) for b, (lo, hi) in scalar.BANDS.items()])
-_INFERRED = []
-for _b, _parts in scalar.MODES.items():
-    _lo = scalar.BANDS[_b][0]
-    for _hi, _m in _parts:
-        _INFERRED.append((_lo, _hi, _m))
-        _lo = _hi + 1
-_MODE = _ranges("freq_hz", _INFERRED)
+_BAND, _MODE = _ranges("freq_hz", _parts(_BANDS)), _ranges("freq_hz", _parts(_USUAL))
 KEYED = f"""
 select *, case mode when 'CW' then freq_hz // 200 * 200 when 'DIG' then freq_hz // 100 * 100 else freq_hz // 1000 * 1000 end as freq_bucket_hz from (
   select *, dx_call as dx_call_norm, spotter_call as spotter_call_norm, {_BAND} as band, coalesce(case when originator_kind = 'Skimmer' then said end, {_MODE}) as mode from ({OBS}) o) m"""
@@ -102,6 +110,70 @@ NEW = f"""
 select * from (select *, lag(freq_bucket_hz) over ({_CBM}) as pb, lag(incarnation) over ({_CBM}) as pi from ({INCARNATIONS}) i where freq_hz between 1800000 and 54000000) p
 where pb is null or pb <> freq_bucket_hz or pi <> incarnation"""
 
+
+
+def _machine(rows: str, updates_us: int | None) -> str:
+    """The changelog of rows(`KEYED` and pass) as a recursion over each call, band and mode: the open spots are a list."""
+    due = "(e.last + 901000000 + 9999999) // 10000000 * 10000000"
+    spot = "struct(b bigint, first bigint, last bigint, rev bigint, em bigint, freq bigint)"
+    event = "{{'kind': {kind}, 'due': {at}, 'seq': {seq}, 'b': e.b, 'rev': e.rev, 'freq': e.freq, 'first': e.first, 'last': e.last}}"
+    made = lambda kind, at, seq: event.format(kind=kind, at=at, seq=seq)
+    update = f"when old.em is not null and t_us - old.em >= {updates_us} then 'Update'" if updates_us is not None else ""
+    return f"""
+with recursive r as (select *, row_number() over (partition by dx_call_norm, band, mode order by t_us, source_id, seq) as n from ({rows}) x),
+fin as (select max(t_us) as end_us from r),
+s as (
+  select distinct dx_call_norm, band, mode, 0::bigint as n, []::{spot}[] as spots, null::bigint as outb,
+    []::struct(kind varchar, due bigint, seq bigint, b bigint, rev bigint, freq bigint, first bigint, last bigint)[] as ev from r
+  union all
+  select dx_call_norm, band, mode, n, list_append(list_filter(live, lambda e: e.b <> b and not (qsy and e.b = out1)), me), case when kind = 'New' then b else out1 end,
+    list_concat(list_concat(list_transform(gone, lambda e: {made("'Withdraw'", due, "null::bigint")}),
+      case when qsy then list_transform(list_filter(live, lambda e: e.b = out1), lambda e: {made("'Withdraw'", "t_us", "seq")}) else [] end),
+      case when kind is not null then list_transform([me], lambda e: {made("kind", "t_us", "seq")}) else [] end)
+  from (
+    select *, coalesce(kind, '') = 'New' and out1 is not null and out1 <> b as qsy,
+      {{'b': b, 'first': coalesce(old.first, t_us), 'last': t_us, 'rev': coalesce(old.rev, 0) + 1, 'em': case when kind is not null then t_us else old.em end, 'freq': freq_hz}}::{spot} as me
+    from (
+      select *, case when not pass then null when old is null or old.em is null then 'New' {update} end as kind
+      from (
+        select *, list_filter(live, lambda e: e.b = b)[1] as old, case when len(list_filter(gone, lambda e: e.b = outb)) > 0 then null else outb end as out1
+        from (
+          select s.dx_call_norm, s.band, s.mode, r.n, s.outb, r.t_us, r.seq, r.freq_hz, r.pass, r.freq_bucket_hz as b,
+            list_filter(s.spots, lambda e: {due} <= r.t_us // 10000000 * 10000000) as gone, list_filter(s.spots, lambda e: {due} > r.t_us // 10000000 * 10000000) as live
+          from s join r on r.dx_call_norm = s.dx_call_norm and r.band = s.band and r.mode = s.mode and r.n = s.n + 1) a) c) d) f
+),
+last_state as (select dx_call_norm, band, mode, arg_max(spots, n) as spots from s group by all),
+happened as (
+  select dx_call_norm, band, mode, unnest(ev) as x from s
+  union all
+  select dx_call_norm, band, mode, unnest(list_transform(list_filter(spots, lambda e: {due} <= end_us), lambda e: {made("'Withdraw'", due, "null::bigint")})) as x from last_state, fin)
+select dx_call_norm, band, mode, x.b as freq_bucket_hz, x.due as at_us, x.seq as seq, x.kind as kind, x.rev as revision, x.freq as freq_hz, x.first as first_seen_us, x.last as last_seen_us from happened"""
+
+
+# three sources that number their lines alike, in threes that arrive at once; rows stand in (t_us, source_id, seq)
+_ALIKE = KEYED.replace(f"({OBS}) o", f"(select * replace ({START} + event_seq // 3 * {3 * STEP} as t_us, event_seq // 3 as seq) from (select *, seq as event_seq from ({OBS}) o1) o2) o")
+_A_RUN = f"over (partition by {_K}, incarnation order by t_us, source_id rows unbounded preceding)"
+_SAME = f"""
+with k as ({_ALIKE}),
+b as (select *, lag(t_us) over (partition by {_K} order by t_us, source_id) as before from k),
+i as (select *, sum(case when before is not null and ({_TICK} - before) // 1000000 > 900 then 1 else 0 end) over (partition by {_K} order by t_us, source_id rows unbounded preceding) as incarnation from b),
+st as (select source_id, seq, count(*) {_A_RUN} as revision, list_unique(list(spotter_call_norm) {_A_RUN})::int as unique_originators, last_value(comment ignore nulls) {_A_RUN} as last_comment from i),
+c as (select x.source_id, x.seq, count(distinct y.spotter_call_norm) as d from k x join k y on x.dx_call_norm = y.dx_call_norm and (y.t_us < x.t_us or y.t_us = x.t_us and y.source_id <= x.source_id) and abs(x.freq_hz - y.freq_hz) <= 300
+  and (x.t_us - y.t_us) // 1000000 <= 180 and y.originator_kind = 'Skimmer' where x.originator_kind = 'Skimmer' group by all),
+ver as (select k.*, d, d >= 3 as v, row_number() over (order by t_us, source_id) as pos from k join c using (source_id, seq)),
+w as (select *, last_value(case when v then freq_hz end ignore nulls) over z as prev_f, last_value(case when v then t_us end ignore nulls) over z as prev_t, lead(case when v then pos end ignore nulls) over (partition by dx_call_norm order by pos) as next_v
+  from ver window z as (partition by dx_call_norm order by pos rows between unbounded preceding and 1 preceding)),
+bust as (select distinct a.pos from w a join w b on not a.v and b.v and b.pos < a.pos and coalesce(b.next_v > a.pos, true) and abs(a.freq_hz - b.freq_hz) <= 100 and a.dx_call_norm <> b.dx_call_norm and levenshtein(a.dx_call_norm, b.dx_call_norm) <= 1
+  and (a.t_us - a.t_us % 10000000 - b.t_us) // 1000000 <= 360),
+tag as (select source_id, seq, d::int as distinct_skimmers, case when v and coalesce(({_TICK} - prev_t) // 1000000 <= 360 and abs(freq_hz - prev_f) > 400, false) then 'Qsy' when v then 'Valid' when bust.pos is not null then 'Busted' else 'Unknown' end as skim_quality
+  from w left join bust on bust.pos = w.pos)
+select st.*, skim_quality, distinct_skimmers from st left join tag using (source_id, seq)"""
+_QUIET = _machine(f"select *, freq_hz between 1800000 and 54000000 as pass from ({KEYED}) k", None)
+_BUSY = _machine(f"select k.*, freq_hz between 1800000 and 54000000 and (originator_kind <> 'Skimmer' or coalesce(t.q, 'Unknown') = 'Valid') as pass from ({KEYED}) k left join (select seq as s, skim_quality as q from ({TAGS}) g) t on t.s = k.seq", 30_000_000)
+# no split or QSY in the spot's last comment: the comment of a row without one is the entry's, which a withdrawal ends
+_COMMENTS = f"""
+select decision, count(*) as n from (select case when regexp_matches(coalesce(last_comment, ''), '(?i)\\b(UP|QSX|SPLIT|QSY)\\b') then 'SplitQsySuppressed' when not (coalesce(is_cq and comment is not null, false) or regexp_matches(coalesce(last_comment, ''), '(?i)\\bCQ\\b')) then 'CqRequired' else 'Allow' end as decision from ({RUNNING}) r) x group by decision"""
+
 # ---- rule sets ----
 
 RULES = {
@@ -183,7 +255,7 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 def _new(spark: SparkSession, sf: str) -> DataFrame:
     rows = _incarnations(spark, sf).withColumn("passes", F.col("freq_hz").between(1_800_000, 54_000_000))
-    return windows.fast_events(rows)
+    return windows.new_events(rows)
 
 
 def _quiet() -> AggregatorConfig:
@@ -191,15 +263,46 @@ def _quiet() -> AggregatorConfig:
 
 
 def _busy() -> AggregatorConfig:
-    return AggregatorConfig(dedupe=Dedupe(emit_updates=True, min_update_interval_us=30_000_000), skimmer=SkimmerQuality())
+    return AggregatorConfig(dedupe=Dedupe(emit_updates=True, min_update_interval_us=30_000_000, qsy_coalesce_us=None), skimmer=SkimmerQuality())
 
 
-def _events(config: AggregatorConfig, rules: FilterConfig = FilterConfig(), kinds: tuple[str, ...] = ()) -> Query:
-    def run(spark, sf):
-        out = pipeline.changelog(obs(spark, sf), config, rules).drop("n_observations")
-        return out.where(F.col("kind").isin(*kinds)) if kinds else out
+LOG = [*observations.KEY, "at_us", "seq", "kind", "revision", "freq_hz", "first_seen_us", "last_seen_us"]
+
+
+def _events(config: AggregatorConfig, rules: FilterConfig = FilterConfig()) -> Query:
+    return lambda spark, sf: pipeline.changelog(obs(spark, sf), config, rules).select(*LOG)
 
-    return run
+
+def _capped(config: AggregatorConfig) -> Query:
+    return lambda spark, sf: serial.changelog(obs(spark, sf), config).select(*LOG)
+
+
+def _content(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules on a comment judge the spot's last one."""
+    return _decisions(observations.view(_running(spark, sf)), FilterConfig(content=Content(suppress_split_qsy=True, cq_only=True)))
+
+
+def _same_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Three sources that number their lines alike, in threes that arrive at once."""
+    rows = obs(spark, sf).withColumns({"t_us": F.lit(START) + F.floor(F.col("seq") / 3) * 3 * STEP, "seq": F.floor(F.col("seq") / 3)})
+    rows = observations.keyed(rows)
+    state = windows.running(windows.incarnations(rows)).select(*observations.ROW, "revision", "unique_originators", "last_comment")
+    tags = quality.tags(rows.where("originator_kind = 'Skimmer'"))
+    return state.join(tags.select(*observations.ROW, "skim_quality", "distinct_skimmers"), observations.ROW, "left")
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    raw = raw_lines(spark, sf)
+    junk = raw.select("source_id", "seq", "t_us", F.when(F.col("seq") % 3 == 0, "no spot").when(F.col("seq") % 3 == 1, "").otherwise("login: ").alias("value"), "originator_policy")
+    rules = FilterConfig(rf=Rf(band_deny=("B40",)))
+    return pipeline.metrics(raw.unionByName(junk), AggregatorConfig(dedupe=Dedupe(qsy_coalesce_us=None)), rules)
+
+
+def _spotter_geo(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of spotters: the prefixes of the DX side, moved to the calls that spot."""
+    e = entities(spark, sf).withColumn("key", F.concat(F.lit("S"), "key"))
+    rows = lookup.with_geo(observations.keyed(obs(spark, sf)), e, "spotter_call_norm", "spotter_geo")
+    return _decisions(observations.view(rows), FilterConfig(geo=Geo(spotter=EntityRules(entity_deny=("NATION_1",), cq_zone_allow=(0, 1, 2)))))
 
 
 _CLASSIFY = [("To ALL de W1AW: hi", "Announce"), ("WWV de VE7CC <00>: SFI=150", "Propagation"), ("login: ", "Prompt"), ("W1AW-2>", "Prompt"), ("hello", "Unknown"), ("   ", "Unknown")]
@@ -235,20 +338,24 @@ def _scalars(spark: SparkSession, sf: str) -> DataFrame:
 _SCALARS = f"""with f as (select *, concat(lower(dx_call), case seq % 3 when 0 then '/p' when 1 then '/qrp/mm' else '' end) as call, seq * 15013 % 150000000 as freq_hz_w from ({OBS}) o)
 select seq, upper(call) as normal, case seq % 3 when 0 then upper(dx_call) when 1 then upper(dx_call) || '/QRP' else upper(dx_call) end as bare, case seq % 3 when 1 then upper(dx_call) || '/QRP' else upper(dx_call) end as cut,
   lower(dx_call) as base, originator_kind = 'Skimmer' as skimmer, {_BAND.replace("freq_hz", "freq_hz_w")} as band, {_MODE.replace("freq_hz", "freq_hz_w")} as mode,
-  {_ranges("freq_hz_w", [(lo, hi, str(lo)) for lo, hi in scalar.BANDS.values()]).replace("'Unknown'", "null")}::bigint as lo, {_ranges("freq_hz_w", [(lo, hi, str(hi)) for lo, hi in scalar.BANDS.values()]).replace("'Unknown'", "null")}::bigint as hi,
+  {_ranges("freq_hz_w", [(lo, hi, str(lo)) for lo, hi, _ in _parts(_BANDS)]).replace("'Unknown'", "null")}::bigint as lo, {_ranges("freq_hz_w", [(lo, hi, str(hi)) for lo, hi, _ in _parts(_BANDS)]).replace("'Unknown'", "null")}::bigint as hi,
   coalesce(said, {_MODE.replace("freq_hz", "freq_hz_w")}) as resolved, case {_MODE.replace("freq_hz", "freq_hz_w")} when 'CW' then freq_hz_w // 200 * 200 when 'DIG' then freq_hz_w // 100 * 100 else freq_hz_w // 1000 * 1000 end as bucket,
   levenshtein(dx_call, 'K1AC') as distance, least(seq, 255)::int as capped from f"""
 
 
 def _formats(spark: SparkSession, sf: str) -> DataFrame:
     k = observations.keyed(obs(spark, sf))
-    return k.select("seq", format_freq(F.col("freq_hz")).alias("khz"), format_band(F.col("band")).alias("band"), format_age(F.pmod(F.col("seq"), F.lit(400))).alias("age"))
+    return k.select("seq", format_freq(F.col("freq_hz")).alias("khz"), format_band(F.col("band")).alias("band"), format_age(F.col("seq")).alias("age"), format_mode(F.col("mode")).alias("mode"), truncate(F.col("spotter_call"), 4).alias("spotter"))
+
+
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """The busy changelog with a number that orders each key's events."""
+    return _events(_busy())(spark, sf).withColumn("event_no", F.struct("at_us", F.col("seq").isNotNull(), F.col("kind") != "Withdraw"))
 
 
 def _live(spark: SparkSession, sf: str) -> DataFrame:
-    new = _new(spark, sf).withColumns({"event_no": F.col("seq"), "last_seen_us": F.col("t_us"), "revision": F.lit(1)})
-    end = new.agg(F.max("t_us")).first()[0] or 0
-    return windows.active_view(new, end).drop("revision")
+    events = stored(_numbered(spark, sf))
+    return windows.active_view(events, events.agg(F.max("at_us")).first()[0] or 0)
 
 
 _GEO = FilterConfig(geo=Geo(dx=EntityRules(entity_deny=("NATION_1",), cq_zone_allow=(0, 1, 2))))
@@ -298,9 +405,19 @@ def table() -> dict[str, tuple[Query, str | None]]:
         "P02_parse": (lambda s, d: lines.parse_lines(raw_lines(s, d)).select("seq", "spotter_call", "dx_call", "freq_hz", "comment", "utc_minute"), f"select seq, spotter_call, dx_call, freq_hz, comment, (seq % 1440)::int as utc_minute from ({OBS}) o"),
         "P06_skimmer_fields": (lambda s, d: obs(s, d).select("seq", F.col("skimmer_fields.snr_db").cast("int").alias("snr_db"), F.col("skimmer_fields.wpm").alias("wpm"), F.col("skimmer_fields.is_cq").alias("is_cq"), F.col("skimmer_fields.mode").alias("mode")), f"select seq, snr_db::int as snr_db, wpm, case when comment is not null then is_cq end as is_cq, said as mode from ({OBS}) o"),
         "P09_keys": (lambda s, d: observations.keyed(obs(s, d)).select("seq", "originator_kind", *observations.KEY), f"select seq, originator_kind, {keys} from ({KEYED}) k"),
-        "P12_formats": (_formats, f"select seq, concat(freq_hz // 1000, '.', freq_hz % 1000 // 100) as khz, case when band = 'Unknown' then '?' else substr(band, 2) || 'm' end as band, case when seq % 400 < 60 then concat(seq % 400, 's') else concat(seq % 400 // 60, 'm', lpad((seq % 400 % 60)::varchar, 2, '0'), 's') end as age from ({KEYED}) k"),
+        "P12_formats": (_formats, f"select seq, concat(freq_hz // 1000, '.', freq_hz % 1000 // 100) as khz, case when band = 'Unknown' then '?' else substr(band, 2) || 'm' end as band, case when seq < 60 then concat(seq, 's') when seq < 3600 then concat(seq // 60, 'm', lpad((seq % 60)::varchar, 2, '0'), 's') else concat(seq // 3600, 'h', lpad((seq % 3600 // 60)::varchar, 2, '0'), 'm') end as age, case when mode = 'Unknown' then '?' else mode end as mode, substr(spotter_call, 1, 4) as spotter from ({KEYED}) k"),
         "C_scalars": (_scalars, _SCALARS),
-        "S09_fan_in": (lambda s, d: observations.fan_in(obs(s, d).where("source_id = 'src0'"), obs(s, d).where("source_id = 'src1'")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")), f"select source_id, count(*) as n from ({OBS}) o where source_id in ('src0', 'src1') group by source_id"),
+        "S09_fan_in": (lambda s, d: observations.fan_in(*[obs(s, d).where(F.col("source_id") == f"src{i}") for i in range(3)]).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")), f"select source_id, count(*) as n from ({OBS}) o group by source_id"),
+        "S10_announcements": (lambda s, d: observations.announcements(raw_lines(s, d).withColumn("value", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("To ALL de "), "value")).otherwise(F.col("value")))).select("source_id", "seq", "t_us"), f"select source_id, seq, t_us from ({OBS}) o where seq % 2 = 0"),
+        "S10_statuses": (lambda s, d: observations.statuses(raw_lines(s, d).withColumns({"value": F.when(F.col("seq") % 2 == 0, F.concat(F.lit("Reconnecting "), F.col("seq").cast("string"))).otherwise("Failed by peer"), "originator_policy": F.when(F.col("seq") % 3 == 0, "Status").otherwise("Auto")})).select("source_id", "seq", "state", "attempt", "reason"), f"select source_id, seq, case when seq % 2 = 0 then 'Reconnecting' else 'Failed' end as state, case when seq % 2 = 0 then seq::int end as attempt, case when seq % 2 = 1 then 'by peer' end as reason from ({OBS}) o where seq % 3 = 0"),
+        "S17_raw_lines": (lambda s, d: observations.observations(raw_lines(s, d), keep_raw=True).select("seq", F.regexp_extract("raw", "^DX de ([^:]+):", 1).alias("said")), f"select seq, spotter_call as said from ({OBS}) o"),
+        "P11_view": (_content, _COMMENTS),
+        "K01_order": (_same_numbers, _SAME),
+        "A13_metrics": (_metrics, f"select 2 * (select count(*) from events) - (select count(*) from events) as spots_received, (select count(*) from ({KEYED}) k where band = 'B40') as spots_filtered, (select count(*) from ({_machine(f"select *, freq_hz between 1800000 and 54000000 and band <> 'B40' as pass from ({KEYED}) k", None)}) e) as spots_emitted, (select count(*) from events where event_id % 3 = 0) as parse_errors"),
+        "A14_unique_originators": (lambda s, d: observations.unique_originators(observations.keyed(obs(s, d)), ["dx_call_norm"], human_only=True), f"select dx_call_norm, least(count(distinct case when originator_kind = 'Human' then spotter_call_norm end), 255)::int as unique_originators from ({KEYED}) k group by 1"),
+        "J02_spotter_entities": (_spotter_geo, f"select decision, count(*) as n from (select case when cq_zone is null then 'UnknownFieldFailed' when cq_zone not in (0, 1, 2) then 'GeoNotMet' when entity = 'NATION_1' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join (select spotter_call_norm as c, arg_max(entity, length(key)) as entity, arg_max(cq_zone, length(key)) as cq_zone from (select distinct spotter_call_norm from ({KEYED}) k) c join (select 'S' || key as key, entity, cq_zone from ({ENTITIES}) e) e on starts_with(spotter_call_norm, key) group by 1) r on r.c = k.spotter_call_norm) x group by decision"),
+        "K02_evict": (_capped(AggregatorConfig(max_spots=40)), None),
+        "K04_tracked": (_capped(AggregatorConfig(skimmer=SkimmerQuality(max_tracked=60))), None),
         "S12_json": (lambda s, d: json_lines(entry(s, d).select("dx_call_norm", "band", "n")), f"select '{{\"dx_call_norm\":\"' || dx_call_norm || '\",\"band\":\"' || band || '\",\"n\":' || count(*) || '}}' as value from ({KEYED}) k group by {keys}"),
         "F15_correlation": (_correlated, f"select decision, count(*) as n from (select case when unique_originators < 2 or unique_sources < 2 or total_observations < 3 then 'CorrelationNotMet' else 'Allow' end as decision from ({RUNNING}) r) x group by decision"),
         "F18_entity_rules": (_geo(_GEO), f"select decision, count(*) as n from (select case when cq_zone is null then 'UnknownFieldFailed' when cq_zone not in (0, 1, 2) then 'GeoNotMet' when entity = 'NATION_1' then 'GeoNotMet' else 'Allow' end as decision from ({KEYED}) k left join ({RESOLVED}) r using (dx_call_norm)) x group by decision"),
@@ -321,11 +438,12 @@ def table() -> dict[str, tuple[Query, str | None]]:
         "W01_incarnations": (lambda s, d: _incarnations(s, d).groupBy(*observations.KEY, "incarnation").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us")), f"select {keys}, incarnation, count(*) as n, min(t_us) as first_us, max(t_us) as last_us from ({INCARNATIONS}) i group by {keys}, incarnation"),
         "G02_withdrawals": (lambda s, d: windows.withdrawals(_incarnations(s, d)).drop("incarnation"), f"select {keys}, last_seen_us, revision, at_us from (select {keys}, incarnation, max(t_us) as last_seen_us, count(*) as revision, (max(t_us) + 901000000 + 9999999) // 10000000 * 10000000 as at_us from ({INCARNATIONS}) i group by {keys}, incarnation) w where at_us <= (select max(t_us) from ({OBS}) o)"),
         "G08_new_events": (lambda s, d: _new(s, d).select("seq", *observations.KEY), f"select seq, {keys} from ({NEW}) n"),
-        "G10_changelog_new": (lambda s, d: _events(_quiet(), kinds=("New",))(s, d).select("seq", "at_us", *observations.KEY, "freq_hz"), f"select seq, t_us as at_us, {keys}, freq_hz from ({NEW}) n"),
-        "G10_changelog": (_events(_quiet()), None),
-        "G09_cooldown": (_events(_busy()), None),
-        "A12_event_counts": (lambda s, d: windows.event_counts(_new(s, d)), f"select 'New' as kind, count(*) as n from ({NEW}) n having count(*) > 0"),
-        "S13_live_view": (_live, f"select {keys}, 'New' as kind, arg_max(freq_hz, seq) as freq_hz, max(t_us) as last_seen_us from ({NEW}) n group by {keys} having max(t_us) >= (select max(t_us) from ({NEW}) m) - 300000000"),
+        "G10_changelog_new": (lambda s, d: _events(_quiet())(s, d).where("kind = 'New'").select("seq", "at_us", *observations.KEY, "freq_hz"), f"select seq, t_us as at_us, {keys}, freq_hz from ({NEW}) n"),
+        "G10_changelog": (_events(_quiet()), _QUIET),
+        "G09_cooldown": (_events(_busy()), _BUSY),
+        "G08_serial": (_capped(_busy()), _BUSY),
+        "A12_event_counts": (lambda s, d: windows.event_counts(_events(_busy())(s, d)), f"select kind, count(*) as n from ({_BUSY}) e group by kind"),
+        "S13_live_view": (_live, f"select {keys}, x.kind as kind, x.freq_hz as freq_hz, x.last_seen_us as last_seen_us, x.revision as revision from (select {keys}, arg_max({{'kind': kind, 'freq_hz': freq_hz, 'last_seen_us': last_seen_us, 'revision': revision}}, at_us * 4 + case when seq is null then 0 when kind = 'Withdraw' then 2 else 3 end) as x, max(max(at_us)) over () as now_us from ({_BUSY}) e group by {keys}) y where x.kind <> 'Withdraw' and x.last_seen_us >= now_us - 300000000"),
         "K02_newest": (lambda s, d: windows.newest(entry(s, d), 50).select(*observations.KEY, "last_seen_us"), f"select {keys}, max(t_us) as last_seen_us from ({KEYED}) k group by {keys} order by last_seen_us desc, {keys} limit 50"),
         "K05_page": (lambda s, d: windows.page(entry(s, d).withColumn("freq_hz", F.col("freq_bucket_hz")), 20, 30).select(*observations.KEY, "n"), f"select {keys}, count(*) as n from ({KEYED}) k group by {keys} order by freq_bucket_hz, {keys} limit 30 offset 20"),
         "K06_recent": (lambda s, d: windows.recent(_new(s, d).withColumn("event_no", F.col("seq"))).select("seq", *observations.KEY), f"select seq, {keys} from ({NEW}) n order by seq desc limit 500"),

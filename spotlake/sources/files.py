@@ -35,4 +35,16 @@ def format_band(band: Column) -> Column:
 
 
 def format_age(seconds: Column) -> Column:
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.format_string("%dm%02ds", F.floor(seconds / 60), F.pmod(seconds, F.lit(60))))
+    """12s, 5m03s, 2h07m."""
+    part = lambda by: F.floor(seconds / by)
+    short = F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.format_string("%dm%02ds", part(60), F.pmod(seconds, F.lit(60))))
+    return short.otherwise(F.format_string("%dh%02dm", part(3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)))
+
+
+def format_mode(mode: Column) -> Column:
+    return F.when(mode == "Unknown", "?").otherwise(mode)
+
+
+def truncate(text: Column, most: int) -> Column:
+    """The first `most` characters."""
+    return F.substring(text, 1, most)

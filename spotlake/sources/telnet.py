@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import queue
 import socket
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -12,6 +14,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+# What a node asks for before it takes a call, and the prompts it may go on with.
+CALL_CUES = ("login", "call", "enter your", "your call")
+PASSWORD_CUE = "password"
+PROMPTS = ("login:", "call:", "callsign:", "please enter your call", "password:")
+PROMPT_BYTES = 30
+# The pseudo-random share that stretches the delay of an attempt is |sin(attempt * 7.3)|.
+JITTER_STEP = 7.3
 # Telnet command bytes.
 IAC, DONT, DO, WONT, WILL, SB, SE = 255, 254, 253, 252, 251, 250, 240
 
@@ -61,7 +70,7 @@ class Backoff:
         self.attempt += 1
         delay = self.initial if self._now is None else self._now
         self._now = min(delay * self.multiplier, self.most)
-        return min(delay * (1 + abs(math.sin(self.attempt * 7.3)) * max(self.jitter, 0.0)), self.most)
+        return min(delay * (1 + abs(math.sin(self.attempt * JITTER_STEP)) * max(self.jitter, 0.0)), self.most)
 
     def reset(self) -> None:
         self.attempt, self._now = 0, None
@@ -86,7 +95,7 @@ class Node:
 
 def is_prompt(line: str) -> bool:
     low = line.rstrip().lower()
-    return any(x in low for x in ("login:", "call:", "callsign:", "please enter your call", "password:")) or (low.endswith(">") and len(line.rstrip().encode()) < 30)
+    return any(x in low for x in PROMPTS) or (low.endswith(">") and len(line.rstrip().encode()) < PROMPT_BYTES)
 
 
 class Login:
@@ -97,10 +106,10 @@ class Login:
 
     def answer(self, line: str) -> str | None:
         low = line.lower()
-        if not self.named and any(x in low for x in ("login", "call", "enter your", "your call")):
+        if not self.named and any(x in low for x in CALL_CUES):
             self.named = True
             return self.node.callsign
-        if self.named and not self.asked and "password" in low:
+        if self.named and not self.asked and PASSWORD_CUE in low:
             self.asked = True
             return self.node.password
         self.done = self.named and not is_prompt(line)
@@ -108,7 +117,14 @@ class Login:
 
 
 def read_lines(node: Node, sock: socket.socket) -> Iterator[str]:
-    """The feed's lines after the login, until the peer closes."""
+    """The feed's lines after the login, until the peer closes; what is left without a newline then is a line, too."""
+
+    def text_of(raw: bytes) -> str:
+        text, replies = strip_options(raw)
+        for r in replies:
+            sock.sendall(r)
+        return decode(text).rstrip("\r\n")
+
     login, held, deadline = Login(node), b"", time.monotonic() + node.login_timeout
     while True:
         sock.settimeout(max(0.01, deadline - time.monotonic()) if not login.done else node.idle_timeout)
@@ -119,13 +135,17 @@ def read_lines(node: Node, sock: socket.socket) -> Iterator[str]:
         if not got:
             if not login.done:
                 raise SourceFailed("connection closed during login")
+            if held:
+                try:
+                    line = text_of(held)
+                except OSError:  # nobody is there to be answered
+                    line = decode(strip_options(held)[0]).rstrip("\r\n")
+                if line:
+                    yield line
             return
         *whole, held = (held + got).split(b"\n")
         for raw in whole:
-            text, replies = strip_options(raw)
-            for r in replies:
-                sock.sendall(r)
-            line = decode(text).rstrip("\r\n")
+            line = text_of(raw)
             if login.done:
                 if line:
                     yield line
@@ -160,7 +180,8 @@ def supervised(node: Node, stop: Callable[[], bool], connect=None, sleep=time.sl
 
 
 class SpotLines(DataSource):
-    """spark.readStream.format("spotlines"): options host, port, callsign, source_id, password, policy, batch_seconds."""
+    """spark.readStream.format("spotlines"): options host, port, callsign, source_id, password, policy, batch_seconds, capacity, idle_seconds,
+    retry_seconds.  Lines carry the node's policy, what the source says of itself the policy `Status`."""
 
     @classmethod
     def name(cls) -> str:
@@ -174,34 +195,43 @@ class SpotLines(DataSource):
 
 
 class SpotReader(SimpleDataSourceStreamReader):
-    """Reads what arrives within batch_seconds; the offset is the number of lines so far.  A node has no past, so a replay has none either."""
+    """A thread keeps the connection up and reads on through silence; a batch takes what has come within batch_seconds.
+
+    The offset is the number of rows so far.  Between thread and batches lies a queue of `capacity` rows: when it is full the thread stops reading,
+    and the node is held back by the connection itself.  A node has no past, so a restarted query goes on from now.
+    """
 
     def __init__(self, options):
         o = dict(options)
-        self.node = Node(o["host"], int(o["port"]), o.get("callsign", "N0CALL"), o.get("source_id", o["host"]), o.get("password"), o.get("policy", "Auto"))
-        self.wait = float(o.get("batch_seconds", "1"))
-        self.feed: Iterator | None = None
+        backoff = Backoff(initial=float(o.get("retry_seconds", "2")))
+        self.node = Node(o["host"], int(o["port"]), o.get("callsign", "N0CALL"), o.get("source_id", o["host"]), o.get("password"), o.get("policy", "Auto"), idle_timeout=float(o.get("idle_seconds", "300")), backoff=backoff)
+        self.wait, self.capacity = float(o.get("batch_seconds", "1")), int(o.get("capacity", "256"))
+        self.rows: queue.Queue | None = None
         self.held: dict[int, tuple] = {}
-        self.until = 0.0
+        self.stopped = False
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
-    def _lines(self) -> Iterator[str]:
-        self.node.idle_timeout = self.wait
-        try:
-            if self.feed is None:
-                sock = socket.create_connection((self.node.host, self.node.port), timeout=self.node.login_timeout)
-                self.feed = read_lines(self.node, sock)
-            while time.monotonic() < self.until:
-                yield next(self.feed)
-        except (OSError, SourceFailed, StopIteration):
-            self.feed = None
+    def stop(self) -> None:
+        self.stopped = True
+
+    def _run(self) -> None:
+        for kind, what in supervised(self.node, lambda: self.stopped):
+            policy = self.node.policy if kind == "line" else "Status"
+            self.rows.put((time.time_ns() // 1000, what, policy))
 
     def read(self, start: dict):
-        n, out, self.until = start["n"], [], time.monotonic() + self.wait
-        for line in self._lines():
-            row = (self.node.source_id, n, time.time_ns() // 1000, line, self.node.policy)
+        if self.rows is None:
+            self.rows = queue.Queue(self.capacity)
+            threading.Thread(target=self._run, daemon=True).start()
+        n, out, until = start["n"], [], time.monotonic() + self.wait
+        while len(out) < 16 * self.capacity and (left := until - time.monotonic()) > 0:
+            try:
+                t_us, what, policy = self.rows.get(timeout=left)
+            except queue.Empty:
+                break
+            row = (self.node.source_id, n, t_us, what, policy)
             self.held[n] = row
             out.append(row)
             n += 1
