@@ -1,22 +1,26 @@
-"""LM scoring by a nested hierarchical Pitman-Yor model.
-
-A restaurant of words (discount and strength d, theta) serves every training token.  Its base measure spells the word: a hierarchy of
-context restaurants over symbol classes (ORDER symbols deep), in which the restaurant of a context has that of the context less its oldest
-symbol as parent, down to the uniform distribution.  A table of the word restaurant sends its word's spelling as customers to the contexts,
-and a table there sends one customer to the parent.  Words that training never saw are one class, as in the base score: its probability is what the
-base measure leaves beside the known words, so all known words and that class sum to 1.
-
-Gibbs sampling: a sweep takes the customers of each dish out and seats them again one by one, join a table by its size less d, open one
-by (theta + d * tables) * parent's probability, tables of other dishes as they were; from the 65th customer of a dish on, the number
-of new tables, a sum of many small draws, comes from its Poisson or normal limit.  After BURN sweeps SAMPLES more are kept, and predictive
+"""LM scoring by a hierarchical Pitman-Yor model of words in context.
+
+A text is a row of words and one end, which is a word without letters.  Every token is a customer, ordering its word, in the restaurant of its
+context: the word before it, hashed to one of CONTEXTS restaurants (at the start of a text the end of the one before).  All context restaurants
+share one parent, the restaurant of words; a table there sends one customer up.  The parent's base measure spells the word: a hierarchy of restaurants
+over symbol classes (ORDER symbols deep), in which the restaurant of a context has that of the context less its oldest symbol as
+parent, down to the uniform distribution.  Words that training never saw are one class, as in the base score: its probability is what the base
+measure leaves beside the known words, so in every context all known words and that class sum to 1.
+
+Gibbs sampling: a sweep takes the customers of each dish out of its restaurant and seats them again one by one, given the tables of all other dishes
+as the last sweep left them: join one's own tables by customers less d each, open one by (theta + d * tables) * the parent's probability.  Levels follow from
+contexts to words to symbols, each sending its tables to the next.  Between two openings the waiting time is drawn at once from its exact law, which is
+a geometric one whose rate is beta distributed; that law is one and the same for every count.  After BURN sweeps SAMPLES more are kept, and predictive
 probabilities are averaged over them.  Discounts are estimated from counts of counts.
 
-Scale: a chunk of texts becomes a dictionary of its distinct words and a list of numbers.  Distinct words of chunks meet by hash bucket,
-hot words once a chunk.  The contexts' tables have SYMBOLS ** ORDER cells whatever the corpus, and only they reach the driver and are broadcast.
-Seating depends on nothing but a bucket's words, the sweep's tables and its seed, so a lost task repeats itself exactly.
+Scale: a chunk of texts becomes a dictionary of its distinct words and a list of numbers.  Distinct words of chunks, with the contexts they stand in, meet by
+hash bucket, hot words once a chunk.  What grows with the corpus, words and words in context, stays in buckets; the driver and the broadcast hold one
+number a context restaurant and a symbol cell, tables of fixed size.  Seating depends on nothing but a bucket's words, the sweeps' tables and their
+seeds, and is played again from the first sweep wherever it is needed, so a lost task repeats itself exactly.  There is a row for each chunk and
+bucket, so the rows between them, not their bytes, grow with the square of the input.
 
-Defined cases: null and blank texts are just the end token; a null id counts as empty text for the fold and is carried; repeated rows are all
-scored; an empty table gives no rows; without training rows everything is the unknown class, of probability 1; equal texts get equal scores.
+Defined cases: null and blank texts are just the end token; a null id counts as empty text for the fold and is carried, of whatever type; a text counts whole, however
+long; repeated rows are all scored; an empty table gives no rows; without training rows everything is the unknown class, of probability 1; equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -33,10 +37,14 @@ from .kernels import buffers, counts_by, segments, span_hash, words
 from .shared import cut, fold, table, tune
 
 ORDER = 4
-BURN, SAMPLES = 2, 3
-THETA = 10.0
+BURN, SAMPLES = 1, 3
+#: Strength of the restaurants of symbols and words, and of those of contexts.
+THETA, CONTEXT_THETA = 10.0, 2.0
+#: Context restaurants: words that share one are one context.
+CONTEXT_BITS = 20
+CONTEXTS = 1 << CONTEXT_BITS
 #: Text bytes of a chunk; chunks per hash bucket.
-CHUNK = 8 << 20
+CHUNK = 12 << 20
 PER_BUCKET = 2
 _SLOTS = 16
 _UNIT = 1 << 50
@@ -110,34 +118,38 @@ def spelled(flat: np.ndarray, sizes: np.ndarray, logp: np.ndarray) -> np.ndarray
 # ---- seating ----
 
 
-def seat(c: np.ndarray, opening: np.ndarray, d, rng) -> np.ndarray:
-    """Tables of dishes with c customers each, `opening` being the weight of a new table and d the discount (one number or one a dish)."""
-    t = (c > 0).astype(np.float64)
-    d = np.broadcast_to(np.asarray(d, np.float64), c.shape)
+def seat(c: np.ndarray, opening: np.ndarray, d: float, rng, more=0.0) -> np.ndarray:
+    """Tables of dishes with c customers each, who sit down one by one: with n seated at t tables the next one opens a table by the weight
+    opening + more * t and joins one by n - d * t.
+
+    With those weights the chance that the next k customers all join is the mean of (1 - v)^k over v from Beta(opening, n - d * t), so the
+    number that join before one opens is geometric given v.
+    """
+    t = (c > 0).astype(np.int64)
+    opening, more = np.broadcast_to(opening, c.shape), np.broadcast_to(more, c.shape)
     on = np.flatnonzero(c > 1)
-    for i in range(1, 64):
-        if len(on) == 0:
-            break
-        a = opening[on]
-        t[on] += rng.random(len(on)) * (i - d[on] * t[on] + a) < a
-        on = on[c[on] > i + 1]
-    if len(on):
-        a, n0 = opening[on], 64 - d[on] * t[on]
-        left = c[on] - 64.0
-        mean = a * np.log1p(left / (n0 + a))
-        var = np.maximum(mean - a * a * (1 / (n0 + a) - 1 / (n0 + left + a)), 0)
-        few = rng.poisson(np.minimum(mean, 50))
-        many = np.rint(rng.normal(mean, np.sqrt(var)))
-        t[on] += np.clip(np.where(mean < 30, few, many), 0, left)
-    return t.astype(np.int64)
+    n = np.ones(len(on))
+    while len(on):
+        tables = t[on]
+        v = rng.beta(np.maximum(opening[on] + more[on] * tables, 1e-300), n - d * tables)
+        with np.errstate(divide="ignore", over="ignore"):
+            joined = np.floor(np.log(1 - rng.random(len(on))) / np.log1p(-np.minimum(v, 1 - 1e-16)))
+        joined[np.isnan(joined)] = np.inf
+        n = n + joined + 1
+        opened = n <= c[on]
+        on, n = on[opened], n[opened]
+        t[on] += 1
+        left = n < c[on]
+        on, n = on[left], n[left]
+    return t
 
 
 def discount(n1: float, n2: float) -> float:
     return float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 else 0.5
 
 
-class Contexts:
-    """The context restaurants, dense by cell; level k has contexts of k - 1 symbols."""
+class Spelling:
+    """The restaurants of symbols, dense by cell; level k has contexts of k - 1 symbols."""
 
     def __init__(self):
         self.p = [np.full(SYMBOLS**k, 1 / SYMBOLS) for k in range(ORDER + 1)]
@@ -152,7 +164,7 @@ class Contexts:
             # a cell less its oldest symbol is the parent's cell
             parent = at % SYMBOLS ** (k - 1) if k > 1 else np.zeros(len(at), np.int64)
             p0 = self.p[k - 1][parent] if k > 1 else np.full(len(at), 1 / SYMBOLS)
-            t = seat(c[at], (THETA + d * self.tables[k][at // SYMBOLS]) * p0, d, rng)
+            t = seat(c[at], (THETA + d * np.maximum(self.tables[k][at // SYMBOLS] - 1, 0)) * p0, d, rng, d * p0)
             kept.append((k, at, c[at], t, d))
             c = np.bincount(parent, weights=t, minlength=SYMBOLS ** (k - 1)).astype(np.int64)
         for k, at, c, t, d in reversed(kept):
@@ -170,35 +182,42 @@ class Contexts:
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs(doc_id long, held_out, text) as chunks: dictionary (flat, sizes), training counts, and the texts as numbers of words."""
+    """docs(doc_id, held_out, text) as chunks: dictionary (flat, sizes; the empty word is the end), training counts, the words' context
+    restaurants, and the texts as numbers of words, each text closed by an end."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
 
-        def flush():
+        def flush(ids_type):
             nonlocal number
             flat = np.concatenate([x[0] for x in held])
             shift = np.cumsum([0, *[len(x[0]) for x in held]])
             s = np.concatenate([x[1] + o for x, o in zip(held, shift)])
             e = np.concatenate([x[2] + o for x, o in zip(held, shift)])
-            n = np.concatenate([x[3] for x in held])
+            n = np.concatenate([x[3] for x in held]) + 1
             out = np.concatenate([x[4] for x in held])
             ids = pa.concat_arrays([x[5] for x in held])
-            _, first, back, times = np.unique(span_hash(flat, s, e), return_index=True, return_inverse=True, return_counts=True)
+            _, first, back = np.unique(span_hash(flat, s, e), return_index=True, return_inverse=True)
+            word = np.full(int(n.sum()), len(first), np.int64)
+            last = np.zeros(len(word), bool)
+            last[np.cumsum(n) - 1] = True
+            word[~last] = back
+            times = np.bincount(word, minlength=len(first) + 1)
             order = np.argsort(-times, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            num = place[back]
+            num = place[word]
             trained = np.bincount(num[np.repeat(~out, n)], minlength=len(order))
-            first = first[order]
-            w = (e - s)[first]
+            starts, w = np.append(s[first], 0)[order], np.append((e - s)[first], 0)[order]
+            letters = _pick(flat, starts, w)
+            cell = _restaurant(_hash(letters, w))
             num = num.astype("<u4").view(np.uint8).reshape(-1, 4)
-            row = [[(part << 24) + number], [_zip(_pick(flat, s[first], w))], [_zip(w.astype(np.int32))], [_zip(trained.astype(np.int32))], [[_zip(num[:, i]) for i in range(4)]], [ids.to_pylist()], [out.tolist()], [n.tolist()]]
+            row = [[(part << 24) + number], [_zip(letters)], [_zip(w.astype(np.int32))], [_zip(trained.astype(np.int32))], [_zip(cell)], [[_zip(num[:, i]) for i in range(4)]], [ids.to_pylist()], [out.tolist()], [n.tolist()]]
             number += 1
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*kinds[:6], pa.list_(ids_type), *kinds[6:]])], names=names)
 
         for b in batches:
             data, off = buffers(b.column(2))
@@ -209,72 +228,143 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
                 held.append((d, s, e, counts_by(doc, hi - lo)[0], out[lo:hi], b.column(0).slice(lo, hi - lo)))
                 size += len(d)
                 if size >= CHUNK:
-                    yield flush()
+                    yield flush(b.column(0).type)
                     size = 0
         if held:
-            yield flush()
+            yield flush(held[0][5].type)
+
+    names = ["chunk", "flat", "sizes", "trained", "cells", "numbers", "doc_ids", "held_out", "n"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "held_out", text).mapInArrow(run, f"chunk long, flat binary, sizes binary, trained binary, cells binary, numbers array<binary>, doc_ids array<{key}>, held_out array<boolean>, n array<long>")
+
+
+def _restaurant(h: np.ndarray) -> np.ndarray:
+    """The context restaurant that a word opens for the next one."""
+    return (h >> _U(64 - CONTEXT_BITS)).astype(np.int32)
 
-    names = ["chunk", "flat", "sizes", "trained", "numbers", "doc_ids", "held_out", "n"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-    return docs.select("doc_id", "held_out", text).mapInArrow(run, "chunk long, flat binary, sizes binary, trained binary, numbers array<binary>, doc_ids array<long>, held_out array<boolean>, n array<long>")
+
+def _numbers(planes) -> np.ndarray:
+    return np.stack([_unzip(x, np.uint8) for x in planes], axis=1).view("<u4").ravel().astype(np.int64)
+
+
+def _in_context(num: np.ndarray, cell: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (word, context restaurant) of a chunk's tokens, ordered by place[word] and restaurant, and which of them each token is."""
+    end = num[-1]
+    before = np.concatenate([[end], num[:-1]])
+    key, back = np.unique((place[num] << 32) | cell[before], return_inverse=True)
+    return key >> 32, (key & 0xFFFFFFFF).astype(np.int32), back
 
 
 def _requests(chunked: DataFrame, buckets: int) -> DataFrame:
-    """A chunk's dictionary by hash bucket: (bucket, chunk, at: places in the dictionary, flat, sizes, trained)."""
+    """A chunk's dictionary by hash bucket: (bucket, chunk, at: places in the dictionary, flat, sizes, and of each word in turn: how many context
+    restaurants it is in, which, and how often in training)."""
 
     def run(batches):
         for b in batches:
-            for chunk, flat, sizes, trained in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                flat, sizes, trained = _unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64), _unzip(trained, np.int32)
-                bucket = (_hash(flat, sizes) >> _U(20)) % _U(buckets)
+            for chunk, flat, sizes, cell, planes, held, n in zip(*[b.column(i).to_pylist() for i in range(7)]):
+                flat, sizes, cell, num = _unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64), _unzip(cell, np.int32), _numbers(planes)
+                bucket = ((_hash(flat, sizes) >> _U(20)) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                word, context, back = _in_context(num, cell, place)
+                learnt = np.bincount(back[np.repeat(~np.array(held, bool), n)], minlength=len(word)).astype(np.int32)
                 starts = np.cumsum(sizes) - sizes
-                ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                per = np.bincount(word, minlength=len(order)).astype(np.int32)
+                upto = np.concatenate([[0], np.cumsum(per)])
                 for k in range(buckets):
-                    at = order[ends[k - 1] if k else 0 : ends[k]]
+                    lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
+                    at = order[lo:hi]
                     if len(at):
-                        row = [k, chunk, _zip(at.astype(np.int32)), _zip(_pick(flat, starts[at], sizes[at])), _zip(sizes[at].astype(np.int32)), _zip(trained[at])]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "chunk", "at", "flat", "sizes", "trained"])
-
-    return chunked.select("chunk", "flat", "sizes", "trained").mapInArrow(run, "bucket int, chunk long, at binary, flat binary, sizes binary, trained binary")
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's training words, each once, with their counts."""
-    flat = np.concatenate([_unzip(x, np.uint8) for x in pdf["flat"]])
-    sizes = np.concatenate([_unzip(x, np.int32) for x in pdf["sizes"]]).astype(np.int64)
-    c = np.concatenate([_unzip(x, np.int32) for x in pdf["trained"]]).astype(np.int64)
-    h, first, back = np.unique(_hash(flat, sizes), return_index=True, return_inverse=True)
-    c = np.bincount(back, weights=c, minlength=len(h)).astype(np.int64)
-    first, c = first[c > 0], c[c > 0]
-    starts = np.cumsum(sizes) - sizes
-    row = {"bucket": pdf["bucket"].iloc[0], "flat": _zip(_pick(flat, starts[first], sizes[first])), "sizes": _zip(sizes[first].astype(np.int32)), "c": _zip(c), "tokens": c.sum(), "types": len(c), "n1": (c == 1).sum(), "n2": (c == 2).sum()}
-    return pd.DataFrame([row])
-
-
-def _seated(bucket: int, flat, sizes, c, state) -> np.ndarray:
-    """Tables of a bucket's words in one sweep."""
-    rng = np.random.default_rng((state["seed"], int(bucket)))
-    opening = (THETA + state["d"] * state["tables"]) * np.exp(spelled(flat, sizes, state["logp"]))
-    return seat(c, opening, state["d"], rng)
-
-
-def _sweep(lexicon: DataFrame, state: dict) -> np.ndarray:
-    """Customers of the context cells after seating all words; at CELLS the tables of words, behind it the words' share of the base
-    measure, in units of 1 / _UNIT."""
-    sc = lexicon.sparkSession.sparkContext
-    shared = sc.broadcast(state)
+                        x, y = int(upto[lo]), int(upto[hi])
+                        row = [k, chunk, _zip(at.astype(np.int32)), _zip(_pick(flat, starts[at], sizes[at])), _zip(sizes[at].astype(np.int32)), _zip(per[lo:hi]), _zip(context[x:y]), _zip(learnt[x:y])]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 6))], names=["bucket", "chunk", "at", "flat", "sizes", "per", "context", "learnt"])
+
+    rows = chunked.select("chunk", "flat", "sizes", "cells", "numbers", "held_out", "n")
+    return rows.mapInArrow(run, "bucket int, chunk long, at binary, flat binary, sizes binary, per binary, context binary, learnt binary")
+
+
+class Words:
+    """A bucket's training words: letters, and of each in turn its context restaurants and how often it is in them."""
+
+    def __init__(self, bucket: int, flat: np.ndarray, sizes: np.ndarray, per: np.ndarray, context: np.ndarray, c: np.ndarray):
+        self.bucket, self.flat, self.sizes, self.per, self.context, self.c = int(bucket), flat, sizes, per, context, c
+        self.word = np.repeat(np.arange(len(per)), per)
+        self.count = np.bincount(self.word, weights=c, minlength=len(per)).astype(np.int64)
+
+    @classmethod
+    def read(cls, bucket, flat, sizes, per, context, c) -> Words:
+        return cls(bucket, _unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64), _unzip(per, np.int32).astype(np.int64), _unzip(context, np.int32), _unzip(c, np.int64))
+
+    @classmethod
+    def merge(cls, pdf: pd.DataFrame) -> Words:
+        """Each word and each of its restaurants once, out of the chunks that have them."""
+        flat = np.concatenate([_unzip(x, np.uint8) for x in pdf["flat"]])
+        sizes = np.concatenate([_unzip(x, np.int32) for x in pdf["sizes"]]).astype(np.int64)
+        per = np.concatenate([_unzip(x, np.int32) for x in pdf["per"]]).astype(np.int64)
+        context = np.concatenate([_unzip(x, np.int32) for x in pdf["context"]]).astype(np.int64)
+        c = np.concatenate([_unzip(x, np.int32) for x in pdf["learnt"]]).astype(np.int64)
+        _, first, back = np.unique(_hash(flat, sizes), return_index=True, return_inverse=True)
+        key, at = np.unique((np.repeat(back, per) << 32) | context, return_inverse=True)
+        c = np.bincount(at, weights=c, minlength=len(key)).astype(np.int64)
+        key, c = key[c > 0], c[c > 0]
+        known, per = np.unique(key >> 32, return_counts=True)
+        starts = np.cumsum(sizes) - sizes
+        first = first[known]
+        return cls(pdf["bucket"].iloc[0], _pick(flat, starts[first], sizes[first]), sizes[first], per, (key & 0xFFFFFFFF).astype(np.int32), c)
+
+    def write(self) -> dict:
+        per, c = self.per, self.c
+        return {
+            "bucket": self.bucket, "flat": _zip(self.flat), "sizes": _zip(self.sizes.astype(np.int32)), "per": _zip(per.astype(np.int32)), "context": _zip(self.context), "c": _zip(c), "tokens": c.sum(),
+            "types": len(per), "n1": (c == 1).sum(), "n2": (c == 2).sum(), "m1": (per == 1).sum(), "m2": (per == 2).sum(),
+        }
+
+    def spelt(self, state: dict) -> np.ndarray:
+        return np.exp(spelled(self.flat, self.sizes, state["logp"]))
+
+    def play(self, states: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """After each sweep: tables of each word in each context restaurant, customers and tables of each word in the restaurant of words."""
+        t2 = np.ones(len(self.c), np.int64)
+        c1, t1 = self.per, np.ones(len(self.per), np.int64)
+        out = []
+        for st in states:
+            rng = np.random.default_rng((st["seed"], self.bucket))
+            base = self.spelt(st)
+            p1 = (c1 - st["d1"] * t1 + (THETA + st["d1"] * st["tables"]) * base) / (THETA + st["customers"])
+            here = p1[self.word]
+            t2 = seat(self.c, (CONTEXT_THETA + st["d2"] * (st["t2"][self.context] - t2)) * here, st["d2"], rng, st["d2"] * here)
+            c1 = np.bincount(self.word, weights=t2, minlength=len(self.per)).astype(np.int64)
+            t1 = seat(c1, (THETA + st["d1"] * (st["tables"] - t1)) * base, st["d1"], rng, st["d1"] * base)
+            out.append((t2, c1, t1))
+        return out
+
+    def predict(self, seats, state: dict, after: dict, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Probability of words (numbers; -1 is the unknown class) in context restaurants; pair is their place among the words in context, or -1."""
+        t2, c1, t1 = seats
+        rest = (THETA + state["d1"] * after["tables"]) / (THETA + after["customers"])
+        p1 = (c1 - state["d1"] * t1) / (THETA + after["customers"]) + rest * self.spelt(state)
+        p = np.where(word >= 0, np.append(p1, 0)[word], rest * after["unknown"])
+        own = np.append(self.c - state["d2"] * t2, 0)[pair]
+        return (own + (CONTEXT_THETA + state["d2"] * after["t2"][context]) * p) / (CONTEXT_THETA + state["c2"][context])
+
+
+_LEXICON = "bucket int, flat binary, sizes binary, per binary, context binary, c binary, tokens long, types long, n1 long, n2 long, m1 long, m2 long"
+_WORDS = ["bucket", "flat", "sizes", "per", "context", "c"]
+#: Where a sweep's sums stand: symbol cells, tables (or customers) of the context restaurants, then three totals.
+_SUMS = CELLS + CONTEXTS + 3
+
+
+def _sum(lexicon: DataFrame, of) -> np.ndarray:
+    """of(words) added up over all buckets: (places, values) within _SUMS."""
 
     def run(batches):
-        total = np.zeros(CELLS + 2, np.int64)
+        total = np.zeros(_SUMS, np.int64)
         for b in batches:
-            for bucket, flat, sizes, c in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                flat, sizes, c = _unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64), _unzip(c, np.int64)
-                t = _seated(bucket, flat, sizes, c, shared.value)
-                cell, owner, _ = cells(flat, sizes)
-                total[:CELLS] += np.bincount(cell, weights=t[owner], minlength=CELLS).astype(np.int64)
-                total[CELLS] += t.sum()
-                total[CELLS + 1] += int(np.exp(spelled(flat, sizes, shared.value["logp"])).sum() * _UNIT)
+            for row in zip(*[b.column(i).to_pylist() for i in range(len(_WORDS))]):
+                of(Words.read(*row), total)
         yield from give(enumerate(np.array_split(total, _SLOTS)))
 
     def give(parts):
@@ -292,110 +382,117 @@ def _sweep(lexicon: DataFrame, state: dict) -> np.ndarray:
         yield from give(held.items())
 
     schema = "slot int, size long, at binary, x binary"
-    got = lexicon.select("bucket", "flat", "sizes", "c").mapInArrow(run, schema).repartition(_SLOTS, "slot").mapInArrow(add, schema).collect()
-    total = np.zeros(CELLS + 2, np.int64)
-    begin = np.cumsum([0, *[len(x) for x in np.array_split(np.zeros(CELLS + 2, np.int8), _SLOTS)]])
+    got = lexicon.select(*_WORDS).mapInArrow(run, schema).repartition(_SLOTS, "slot").mapInArrow(add, schema).collect()
+    total = np.zeros(_SUMS, np.int64)
+    begin = np.cumsum([0, *[len(x) for x in np.array_split(np.zeros(_SUMS, np.int8), _SLOTS)]])
     for r in got:
         total[begin[r["slot"]] + _unzip(r["at"], np.int32)] += _unzip(r["x"], np.int64)
     return total
 
 
+def train(lexicon: DataFrame, seed: int) -> tuple[list[dict], list[dict]]:
+    """(what each sweep started from, what it left), from the merged words of all buckets."""
+    sc = lexicon.sparkSession.sparkContext
+    s = lexicon.agg(*[F.sum(c) for c in ("types", "n1", "n2", "m1", "m2")]).first()
+    types = s[0] or 0
+
+    def first(w: Words, total: np.ndarray) -> None:
+        np.add.at(total, CELLS + w.context, w.c)
+
+    def open_once(w: Words, total: np.ndarray) -> None:
+        np.add.at(total, CELLS + w.context, 1)
+        total[-2] += len(w.c)
+
+    c2 = _sum(lexicon, first)[CELLS : CELLS + CONTEXTS]
+    once = _sum(lexicon, open_once)
+    spelling, rng = Spelling(), np.random.default_rng(seed)
+    state = {"d1": discount(s[3] or 0, s[4] or 0), "d2": discount(s[1] or 0, s[2] or 0), "tables": float(types), "customers": float(once[-2]), "c2": c2.astype(np.float32), "t2": once[CELLS : CELLS + CONTEXTS].astype(np.float32)}
+    states, left = [], []
+    for i in range(BURN + SAMPLES):
+        states.append(state | {"seed": seed * 1000 + i, "logp": np.log(spelling.p[ORDER]).astype(np.float32)})
+        if not types:
+            left.append({"tables": 0.0, "customers": 0.0, "unknown": 1.0, "t2": state["t2"]})
+            continue
+        shared = sc.broadcast(states)
+
+        def sweep(w: Words, total: np.ndarray, shared=shared) -> None:
+            t2, _, t1 = w.play(shared.value)[-1]
+            cell, owner, _ = cells(w.flat, w.sizes)
+            total[:CELLS] += np.bincount(cell, weights=t1[owner], minlength=CELLS).astype(np.int64)
+            np.add.at(total, CELLS + w.context, t2)
+            total[-3] += t1.sum()
+            total[-2] += t2.sum()
+            total[-1] += int(w.spelt(shared.value[-1]).sum() * _UNIT)
+
+        total = _sum(lexicon, sweep)
+        spelling.sweep(total[:CELLS], rng)
+        state = state | {"tables": float(total[-3]), "customers": float(total[-2]), "t2": total[CELLS : CELLS + CONTEXTS].astype(np.float32)}
+        left.append({k: state[k] for k in ("tables", "customers", "t2")} | {"unknown": max(1 - total[-1] / _UNIT, 1e-9)})
+    return states, left
+
+
 def score(docs: DataFrame, seed: int = 3) -> DataFrame:
-    """docs(doc_id long, held_out boolean, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row;
+    """docs(doc_id, held_out boolean, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row;
     the rows that are not held out are learnt from."""
     tune(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     chunked = cut(chunks(docs))
-    n_chunks = chunked.count()
-    buckets = max(1, n_chunks // PER_BUCKET)
-    requests = _requests(chunked, buckets)
-    lexicon = cut(requests.groupBy("bucket").applyInPandas(_merge, "bucket int, flat binary, sizes binary, c binary, tokens long, types long, n1 long, n2 long"))
-    s = lexicon.agg(F.sum("tokens"), F.sum("types"), F.sum("n1"), F.sum("n2")).first()
-    ends = chunked.select(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
-    total, types = (s[0] or 0) + ends, (s[1] or 0) + (ends > 0)
-    d = discount(s[2] or 0, s[3] or 0)
-    contexts, rng = Contexts(), np.random.default_rng(seed)
-    tables, states = float(types), []
-    nothing = (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    for i in range(BURN + SAMPLES if total else 1):
-        state = {"seed": seed * 1000 + i, "d": d, "tables": tables, "logp": np.log(contexts.p[ORDER]).astype(np.float32)}
-        if total:
-            customers = _sweep(lexicon, state)
-            # the end token is a word without letters
-            opening = (THETA + d * tables) * np.exp(spelled(*nothing, state["logp"]))
-            share = customers[CELLS + 1] / _UNIT + float(np.exp(spelled(*nothing, state["logp"]))[0]) * (ends > 0)
-            t_end = seat(np.array([ends]), opening, d, rng)[0]
-            end_cell = cells(*nothing)[0]
-            customers[end_cell] += t_end
-            tables = float(customers[CELLS] + t_end)
-            contexts.sweep(customers[:CELLS], rng)
-        else:
-            t_end, share = 0, 0.0
-        if i >= BURN or not total:
-            states.append(state | {"after": tables, "t_end": t_end, "unknown": max(1 - share, 1e-9)})
-    shared = sc.broadcast(states)
-
-    unknown = float(np.log10(np.mean([(THETA + st["d"] * st["after"]) / (THETA + total) * st["unknown"] for st in states])))
-
-    def predictive(flat, sizes, c, seats, states):
-        """Averaged log10 probability of words with counts c and tables `seats` (one list a sample)."""
-        logs = []
-        for st, t in zip(states, seats):
-            back = np.log((THETA + st["d"] * st["after"]) / (THETA + total)) + spelled(flat, sizes, st["logp"])
-            own = np.maximum(c - st["d"] * t, 0) / (THETA + total)
-            with np.errstate(divide="ignore"):
-                logs.append(np.logaddexp(np.log(own), back))
-        return (np.logaddexp.reduce(logs, axis=0) - np.log(len(logs))) / np.log(10)
+    buckets = max(1, chunked.count() // PER_BUCKET)
+    requests = cut(_requests(chunked, buckets))
+    lexicon = cut(requests.groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([Words.merge(pdf).write()]), _LEXICON))
+    s = lexicon.agg(F.sum("tokens"), F.sum("types")).first()
+    total, types = s[0] or 0, s[1] or 0
+    shared = sc.broadcast(train(lexicon, seed))
+    bottom = np.log10(total + 0.1 * (types + 1))
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        """For each chunk's words of a bucket: counts and probabilities."""
-        if len(known) and len(asked):
-            row = known.iloc[0]
-            flat, sizes, c = _unzip(row["flat"], np.uint8), _unzip(row["sizes"], np.int32).astype(np.int64), _unzip(row["c"], np.int64)
-        else:
-            flat, sizes, c = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seats = [_seated(row["bucket"], flat, sizes, c, st) for st in shared.value] if len(c) else [c] * len(shared.value)
-        h = _hash(flat, sizes)
+        """For each chunk's words of a bucket their counts, for each word in context its averaged log10 probability."""
+        states, left = shared.value
+        w = Words.read(*known[_WORDS].iloc[0]) if len(known) else Words(0, *[np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.int32, np.int64)])
+        plays = w.play(states) if len(w.per) else [(w.c, w.per, w.per)] * len(states)
+        h = _hash(w.flat, w.sizes)
         order = np.argsort(h)
-        h = h[order]
-        lp = predictive(flat, sizes, c, seats, shared.value).astype(np.float32) if len(c) else np.zeros(0, np.float32)
+        pairs = (w.word << 32) | w.context
         out = []
-        for chunk, at, wf, ws in zip(asked["chunk"], asked["at"], asked["flat"], asked["sizes"]):
-            wf, ws = _unzip(wf, np.uint8), _unzip(ws, np.int32).astype(np.int64)
-            x = _hash(wf, ws)
-            n, p = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
+        for bucket, chunk, at, flat, sizes, per, context in asked[["bucket", "chunk", "at", "flat", "sizes", "per", "context"]].itertuples(index=False):
+            x = _hash(_unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64))
+            word = np.full(len(x), -1)
             if len(h):
-                i = np.minimum(np.searchsorted(h, x), len(h) - 1)
-                hit = h[i] == x
-                n[hit], p[hit] = c[order[i[hit]]], lp[order[i[hit]]]
-            p[n == 0] = unknown
-            out.append((chunk, at, _zip(n), _zip(p)))
-        return pd.DataFrame(out, columns=["chunk", "at", "c", "p"])
-
-    ask = requests.select("bucket", "chunk", "at", "flat", "sizes").groupBy("bucket")
-    answers = ask.cogroup(lexicon.select("bucket", "flat", "sizes", "c").groupBy("bucket")).applyInPandas(answer, "chunk long, at binary, c binary, p binary")
-    bottom = np.log10(total + 0.1 * (types + 1))
-    end_p = float(predictive(*nothing, np.array([ends]), [np.array([st["t_end"]]) for st in states], states)[0]) if ends else unknown
-    end_base = float(np.log10(ends + 0.1) - bottom)
+                i = order[np.minimum(np.searchsorted(h, x, sorter=order), len(h) - 1)]
+                word = np.where(h[i] == x, i, -1)
+            each, context = np.repeat(word, _unzip(per, np.int32)), _unzip(context, np.int32)
+            key = (each << 32) | context
+            pair = np.full(len(key), -1)
+            if len(pairs):
+                i = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                pair = np.where((pairs[i] == key) & (each >= 0), i, -1)
+            p = np.mean([w.predict(t, st, after, each, context, pair) for t, st, after in list(zip(plays, states, left))[BURN:]], axis=0)
+            c = np.where(word >= 0, np.append(w.count, 0)[word], 0)
+            out.append((bucket, chunk, at, _zip(c.astype(np.int64)), _zip(np.log10(p).astype(np.float32))))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "at", "c", "p"])
+
+    ask = requests.select("bucket", "chunk", "at", "flat", "sizes", "per", "context").groupBy("bucket")
+    answers = ask.cogroup(lexicon.select(*_WORDS).groupBy("bucket")).applyInPandas(answer, "bucket int, chunk long, at binary, c binary, p binary")
+    key = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(text: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        at = [_unzip(x, np.int32) for x in got["at"]]
-        size = sum(len(x) for x in at)
-        c, p = np.zeros(size, np.int64), np.zeros(size)
-        for i, n, q in zip(at, got["c"], got["p"]):
-            c[i], p[i] = _unzip(n, np.int64), _unzip(q, np.float32)
-        base = np.log10(c + 0.1) - bottom
-        for planes, ids, held, n in zip(text["numbers"], text["doc_ids"], text["held_out"], text["n"]):
-            n = np.asarray(n, np.int64)
-            num = np.stack([_unzip(x, np.uint8) for x in planes], axis=1).view("<u4").ravel()
-            doc = np.repeat(np.arange(len(n)), n)
-            known, b, q = (np.bincount(doc, weights=v[num], minlength=len(n)) for v in ((c > 0), base, p))
-            out.append(pd.DataFrame({"doc_id": pd.array(list(ids), "Int64"), "held_out": list(held), "n_tokens": n + 1, "n_known": known.astype(np.int64) + (ends > 0), "train_tokens": total, "base_score": b + end_base, "score": q + end_p}))
-        return pd.concat(out)
-
-    whole = chunked.select("chunk", "numbers", "doc_ids", "held_out", "n").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return whole.applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        got = got.sort_values("bucket")
+        order = np.concatenate([_unzip(x, np.int32) for x in got["at"]]).astype(np.int64)
+        place, c = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        c[order] = np.concatenate([_unzip(x, np.int64) for x in got["c"]])
+        p = np.concatenate([_unzip(x, np.float32) for x in got["p"]]).astype(np.float64)
+        row = text.iloc[0]
+        n, num = np.asarray(row["n"], np.int64), _numbers(row["numbers"])
+        back = _in_context(num, _unzip(row["cells"], np.int32), place)[2]
+        doc = np.repeat(np.arange(len(n)), n)
+        known, b, q = (np.bincount(doc, weights=v, minlength=len(n)) for v in ((c > 0)[num], (np.log10(c + 0.1) - bottom)[num], p[back]))
+        ids = list(row["doc_ids"])
+        ids = pd.array(ids, "Int64") if key == "bigint" else ids
+        return pd.DataFrame({"doc_id": ids, "held_out": list(row["held_out"]), "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": total, "base_score": b, "score": q})
+
+    whole = chunked.select("chunk", "cells", "numbers", "doc_ids", "held_out", "n").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return whole.applyInPandas(finish, f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
