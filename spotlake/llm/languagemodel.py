@@ -351,20 +351,30 @@ class Words:
         return (own + (CONTEXT_THETA + state["d2"] * after["t2"][context]) * p) / (CONTEXT_THETA + state["c2"][context])
 
 
+def _pack(states: list[dict]) -> list[dict]:
+    """Tables compressed, for a broadcast: most of their cells are alike."""
+    return [{k: (_zip(v), str(v.dtype)) if isinstance(v, np.ndarray) else v for k, v in st.items()} for st in states]
+
+
+def _unpack(packed: list[dict]) -> list[dict]:
+    return [{k: _unzip(*v) if isinstance(v, tuple) else v for k, v in st.items()} for st in packed]
+
+
 _LEXICON = "bucket int, flat binary, sizes binary, per binary, context binary, c binary, tokens long, types long, n1 long, n2 long, m1 long, m2 long"
 _WORDS = ["bucket", "flat", "sizes", "per", "context", "c"]
 #: Where a sweep's sums stand: symbol cells, tables (or customers) of the context restaurants, then three totals.
 _SUMS = CELLS + CONTEXTS + 3
 
 
-def _sum(lexicon: DataFrame, of) -> np.ndarray:
-    """of(words) added up over all buckets: (places, values) within _SUMS."""
+def _sum(lexicon: DataFrame, of, states: list[dict]) -> np.ndarray:
+    """What of(words, states, sums) adds to the sums (see _SUMS) for all buckets."""
+    shared = lexicon.sparkSession.sparkContext.broadcast(_pack(states))
 
     def run(batches):
-        total = np.zeros(_SUMS, np.int64)
+        total, known = np.zeros(_SUMS, np.int64), _unpack(shared.value)
         for b in batches:
             for row in zip(*[b.column(i).to_pylist() for i in range(len(_WORDS))]):
-                of(Words.read(*row), total)
+                of(Words.read(*row), known, total)
         yield from give(enumerate(np.array_split(total, _SLOTS)))
 
     def give(parts):
@@ -387,24 +397,33 @@ def _sum(lexicon: DataFrame, of) -> np.ndarray:
     begin = np.cumsum([0, *[len(x) for x in np.array_split(np.zeros(_SUMS, np.int8), _SLOTS)]])
     for r in got:
         total[begin[r["slot"]] + _unzip(r["at"], np.int32)] += _unzip(r["x"], np.int64)
+    shared.destroy()
     return total
 
 
 def train(lexicon: DataFrame, seed: int) -> tuple[list[dict], list[dict]]:
     """(what each sweep started from, what it left), from the merged words of all buckets."""
-    sc = lexicon.sparkSession.sparkContext
     s = lexicon.agg(*[F.sum(c) for c in ("types", "n1", "n2", "m1", "m2")]).first()
     types = s[0] or 0
 
-    def first(w: Words, total: np.ndarray) -> None:
+    def first(w: Words, _, total: np.ndarray) -> None:
         np.add.at(total, CELLS + w.context, w.c)
 
-    def open_once(w: Words, total: np.ndarray) -> None:
+    def open_once(w: Words, _, total: np.ndarray) -> None:
         np.add.at(total, CELLS + w.context, 1)
         total[-2] += len(w.c)
 
-    c2 = _sum(lexicon, first)[CELLS : CELLS + CONTEXTS]
-    once = _sum(lexicon, open_once)
+    def sweep(w: Words, known: list[dict], total: np.ndarray) -> None:
+        t2, _, t1 = w.play(known)[-1]
+        cell, owner, _ = cells(w.flat, w.sizes)
+        total[:CELLS] += np.bincount(cell, weights=t1[owner], minlength=CELLS).astype(np.int64)
+        np.add.at(total, CELLS + w.context, t2)
+        total[-3] += t1.sum()
+        total[-2] += t2.sum()
+        total[-1] += int(w.spelt(known[-1]).sum() * _UNIT)
+
+    c2 = _sum(lexicon, first, [])[CELLS : CELLS + CONTEXTS]
+    once = _sum(lexicon, open_once, [])
     spelling, rng = Spelling(), np.random.default_rng(seed)
     state = {"d1": discount(s[3] or 0, s[4] or 0), "d2": discount(s[1] or 0, s[2] or 0), "tables": float(types), "customers": float(once[-2]), "c2": c2.astype(np.float32), "t2": once[CELLS : CELLS + CONTEXTS].astype(np.float32)}
     states, left = [], []
@@ -413,18 +432,7 @@ def train(lexicon: DataFrame, seed: int) -> tuple[list[dict], list[dict]]:
         if not types:
             left.append({"tables": 0.0, "customers": 0.0, "unknown": 1.0, "t2": state["t2"]})
             continue
-        shared = sc.broadcast(states)
-
-        def sweep(w: Words, total: np.ndarray, shared=shared) -> None:
-            t2, _, t1 = w.play(shared.value)[-1]
-            cell, owner, _ = cells(w.flat, w.sizes)
-            total[:CELLS] += np.bincount(cell, weights=t1[owner], minlength=CELLS).astype(np.int64)
-            np.add.at(total, CELLS + w.context, t2)
-            total[-3] += t1.sum()
-            total[-2] += t2.sum()
-            total[-1] += int(w.spelt(shared.value[-1]).sum() * _UNIT)
-
-        total = _sum(lexicon, sweep)
+        total = _sum(lexicon, sweep, states)
         spelling.sweep(total[:CELLS], rng)
         state = state | {"tables": float(total[-3]), "customers": float(total[-2]), "t2": total[CELLS : CELLS + CONTEXTS].astype(np.float32)}
         left.append({k: state[k] for k in ("tables", "customers", "t2")} | {"unknown": max(1 - total[-1] / _UNIT, 1e-9)})
@@ -442,12 +450,12 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
     lexicon = cut(requests.groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([Words.merge(pdf).write()]), _LEXICON))
     s = lexicon.agg(F.sum("tokens"), F.sum("types")).first()
     total, types = s[0] or 0, s[1] or 0
-    shared = sc.broadcast(train(lexicon, seed))
+    shared = sc.broadcast([_pack(x) for x in train(lexicon, seed)])
     bottom = np.log10(total + 0.1 * (types + 1))
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """For each chunk's words of a bucket their counts, for each word in context its averaged log10 probability."""
-        states, left = shared.value
+        states, left = map(_unpack, shared.value)
         w = Words.read(*known[_WORDS].iloc[0]) if len(known) else Words(0, *[np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.int32, np.int64)])
         plays = w.play(states) if len(w.per) else [(w.c, w.per, w.per)] * len(states)
         h = _hash(w.flat, w.sizes)
