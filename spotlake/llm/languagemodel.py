@@ -11,7 +11,7 @@ Gibbs sampling: a sweep takes the customers of each dish out of its restaurant a
 as the last sweep left them: join one's own tables by customers less d each, open one by (theta + d * tables) * the parent's probability.  Levels follow from
 contexts to words to symbols, each sending its tables to the next.  Between two openings the waiting time is drawn at once from its exact law, which is
 a geometric one whose rate is beta distributed; that law is one and the same for every count.  After BURN sweeps SAMPLES more are kept, and predictive
-probabilities are averaged over them.  Discounts are estimated from counts of counts.
+probabilities are averaged over them, and rounded to STEP in their logarithm (31 decimal places at most).  Discounts are estimated from counts of counts.
 
 Scale: a chunk of texts becomes a dictionary of its distinct words and a list of numbers.  Distinct words of chunks, with the contexts they stand in, meet by
 hash bucket, hot words once a chunk.  What grows with the corpus, words and words in context, stays in buckets; the driver and the broadcast hold one
@@ -37,12 +37,16 @@ from .kernels import buffers, counts_by, segments, span_hash, words
 from .shared import cut, fold, table, tune
 
 ORDER = 4
-BURN, SAMPLES = 1, 3
+BURN, SAMPLES = 1, 2
 #: Strength of the restaurants of symbols and words, and of those of contexts.
 THETA, CONTEXT_THETA = 10.0, 2.0
 #: Context restaurants: words that share one are one context.
 CONTEXT_BITS = 20
 CONTEXTS = 1 << CONTEXT_BITS
+#: Customers of a dish that are drawn one by one before waiting times are.
+SINGLY = 12
+#: Steps of a log10 probability that a chunk gets back.
+STEP = 1 / 1024
 #: Text bytes of a chunk; chunks per hash bucket.
 CHUNK = 12 << 20
 PER_BUCKET = 2
@@ -123,12 +127,18 @@ def seat(c: np.ndarray, opening: np.ndarray, d: float, rng, more=0.0) -> np.ndar
     opening + more * t and joins one by n - d * t.
 
     With those weights the chance that the next k customers all join is the mean of (1 - v)^k over v from Beta(opening, n - d * t), so the
-    number that join before one opens is geometric given v.
+    number that join before one opens is geometric given v.  A dish's first few customers are cheaper to draw singly, by the same weights.
     """
     t = (c > 0).astype(np.int64)
     opening, more = np.broadcast_to(opening, c.shape), np.broadcast_to(more, c.shape)
     on = np.flatnonzero(c > 1)
-    n = np.ones(len(on))
+    for i in range(1, SINGLY):
+        if len(on) == 0:
+            break
+        w = opening[on] + more[on] * t[on]
+        t[on] += rng.random(len(on)) * (i - d * t[on] + w) < w
+        on = on[c[on] > i + 1]
+    n = np.full(len(on), float(SINGLY))
     while len(on):
         tables = t[on]
         v = rng.beta(np.maximum(opening[on] + more[on] * tables, 1e-300), n - d * tables)
@@ -258,7 +268,7 @@ def _in_context(num: np.ndarray, cell: np.ndarray, place: np.ndarray) -> tuple[n
 
 def _requests(chunked: DataFrame, buckets: int) -> DataFrame:
     """A chunk's dictionary by hash bucket: (bucket, chunk, at: places in the dictionary, flat, sizes, and of each word in turn: how many context
-    restaurants it is in, which, and how often in training)."""
+    restaurants it is in, which (as differences), and how often in training)."""
 
     def run(batches):
         for b in batches:
@@ -279,7 +289,7 @@ def _requests(chunked: DataFrame, buckets: int) -> DataFrame:
                     at = order[lo:hi]
                     if len(at):
                         x, y = int(upto[lo]), int(upto[hi])
-                        row = [k, chunk, _zip(at.astype(np.int32)), _zip(_pick(flat, starts[at], sizes[at])), _zip(sizes[at].astype(np.int32)), _zip(per[lo:hi]), _zip(context[x:y]), _zip(learnt[x:y])]
+                        row = [k, chunk, _zip(at.astype(np.int32)), _zip(_pick(flat, starts[at], sizes[at])), _zip(sizes[at].astype(np.int32)), _zip(per[lo:hi]), _zip(np.diff(context[x:y], prepend=np.int32(0))), _zip(learnt[x:y])]
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 6))], names=["bucket", "chunk", "at", "flat", "sizes", "per", "context", "learnt"])
 
     rows = chunked.select("chunk", "flat", "sizes", "cells", "numbers", "held_out", "n")
@@ -293,6 +303,7 @@ class Words:
         self.bucket, self.flat, self.sizes, self.per, self.context, self.c = int(bucket), flat, sizes, per, context, c
         self.word = np.repeat(np.arange(len(per)), per)
         self.count = np.bincount(self.word, weights=c, minlength=len(per)).astype(np.int64)
+        self._letters = None
 
     @classmethod
     def read(cls, bucket, flat, sizes, per, context, c) -> Words:
@@ -304,7 +315,7 @@ class Words:
         flat = np.concatenate([_unzip(x, np.uint8) for x in pdf["flat"]])
         sizes = np.concatenate([_unzip(x, np.int32) for x in pdf["sizes"]]).astype(np.int64)
         per = np.concatenate([_unzip(x, np.int32) for x in pdf["per"]]).astype(np.int64)
-        context = np.concatenate([_unzip(x, np.int32) for x in pdf["context"]]).astype(np.int64)
+        context = np.concatenate([np.cumsum(_unzip(x, np.int32), dtype=np.int64) for x in pdf["context"]])
         c = np.concatenate([_unzip(x, np.int32) for x in pdf["learnt"]]).astype(np.int64)
         _, first, back = np.unique(_hash(flat, sizes), return_index=True, return_inverse=True)
         key, at = np.unique((np.repeat(back, per) << 32) | context, return_inverse=True)
@@ -322,8 +333,15 @@ class Words:
             "types": len(per), "n1": (c == 1).sum(), "n2": (c == 2).sum(), "m1": (per == 1).sum(), "m2": (per == 2).sum(),
         }
 
+    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol cells of the words, worked out once."""
+        if self._letters is None:
+            self._letters = cells(self.flat, self.sizes)
+        return self._letters
+
     def spelt(self, state: dict) -> np.ndarray:
-        return np.exp(spelled(self.flat, self.sizes, state["logp"]))
+        cell, owner, term = self.letters()
+        return np.exp(term + np.bincount(owner, weights=state["logp"][cell], minlength=len(self.sizes))) if len(self.sizes) else term
 
     def play(self, states: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """After each sweep: tables of each word in each context restaurant, customers and tables of each word in the restaurant of words."""
@@ -341,14 +359,16 @@ class Words:
             out.append((t2, c1, t1))
         return out
 
-    def predict(self, seats, state: dict, after: dict, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Probability of words (numbers; -1 is the unknown class) in context restaurants; pair is their place among the words in context, or -1."""
+    def predictive(self, seats, state: dict, after: dict):
+        """A sweep's probability of words (numbers; -1 is the unknown class) in context restaurants, as a function of them and of their place among
+        the words in context, or -1."""
         t2, c1, t1 = seats
         rest = (THETA + state["d1"] * after["tables"]) / (THETA + after["customers"])
-        p1 = (c1 - state["d1"] * t1) / (THETA + after["customers"]) + rest * self.spelt(state)
-        p = np.where(word >= 0, np.append(p1, 0)[word], rest * after["unknown"])
-        own = np.append(self.c - state["d2"] * t2, 0)[pair]
-        return (own + (CONTEXT_THETA + state["d2"] * after["t2"][context]) * p) / (CONTEXT_THETA + state["c2"][context])
+        p1 = np.append((c1 - state["d1"] * t1) / (THETA + after["customers"]) + rest * self.spelt(state), rest * after["unknown"])
+        own = np.append(self.c - state["d2"] * t2, 0)
+        share = 1 / (CONTEXT_THETA + state["c2"].astype(np.float64))
+        back = (CONTEXT_THETA + state["d2"] * after["t2"]) * share
+        return lambda word, context, pair: own[pair] * share[context] + back[context] * p1[word]
 
 
 def _pack(states: list[dict]) -> list[dict]:
@@ -371,8 +391,9 @@ def _sum(lexicon: DataFrame, of, states: list[dict]) -> np.ndarray:
     shared = lexicon.sparkSession.sparkContext.broadcast(_pack(states))
 
     def run(batches):
-        total, known = np.zeros(_SUMS, np.int64), _unpack(shared.value)
+        total, known = np.zeros(_SUMS, np.int64), None
         for b in batches:
+            known = _unpack(shared.value) if known is None else known
             for row in zip(*[b.column(i).to_pylist() for i in range(len(_WORDS))]):
                 of(Words.read(*row), known, total)
         yield from give(enumerate(np.array_split(total, _SLOTS)))
@@ -415,7 +436,7 @@ def train(lexicon: DataFrame, seed: int) -> tuple[list[dict], list[dict]]:
 
     def sweep(w: Words, known: list[dict], total: np.ndarray) -> None:
         t2, _, t1 = w.play(known)[-1]
-        cell, owner, _ = cells(w.flat, w.sizes)
+        cell, owner, _ = w.letters()
         total[:CELLS] += np.bincount(cell, weights=t1[owner], minlength=CELLS).astype(np.int64)
         np.add.at(total, CELLS + w.context, t2)
         total[-3] += t1.sum()
@@ -447,7 +468,7 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
     chunked = cut(chunks(docs))
     buckets = max(1, chunked.count() // PER_BUCKET)
     requests = cut(_requests(chunked, buckets))
-    lexicon = cut(requests.groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([Words.merge(pdf).write()]), _LEXICON))
+    lexicon = cut(requests.select("bucket", "flat", "sizes", "per", "context", "learnt").groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([Words.merge(pdf).write()]), _LEXICON))
     s = lexicon.agg(F.sum("tokens"), F.sum("types")).first()
     total, types = s[0] or 0, s[1] or 0
     shared = sc.broadcast([_pack(x) for x in train(lexicon, seed)])
@@ -461,6 +482,7 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
         h = _hash(w.flat, w.sizes)
         order = np.argsort(h)
         pairs = (w.word << 32) | w.context
+        kept = [w.predictive(*x) for x in list(zip(plays, states, left))[BURN:]]
         out = []
         for bucket, chunk, at, flat, sizes, per, context in asked[["bucket", "chunk", "at", "flat", "sizes", "per", "context"]].itertuples(index=False):
             x = _hash(_unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64))
@@ -468,15 +490,15 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
             if len(h):
                 i = order[np.minimum(np.searchsorted(h, x, sorter=order), len(h) - 1)]
                 word = np.where(h[i] == x, i, -1)
-            each, context = np.repeat(word, _unzip(per, np.int32)), _unzip(context, np.int32)
+            each, context = np.repeat(word, _unzip(per, np.int32)), np.cumsum(_unzip(context, np.int32), dtype=np.int64)
             key = (each << 32) | context
             pair = np.full(len(key), -1)
             if len(pairs):
                 i = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
                 pair = np.where((pairs[i] == key) & (each >= 0), i, -1)
-            p = np.mean([w.predict(t, st, after, each, context, pair) for t, st, after in list(zip(plays, states, left))[BURN:]], axis=0)
+            p = sum(of(each, context, pair) for of in kept) / len(kept)
             c = np.where(word >= 0, np.append(w.count, 0)[word], 0)
-            out.append((bucket, chunk, at, _zip(c.astype(np.int64)), _zip(np.log10(p).astype(np.float32))))
+            out.append((bucket, chunk, at, _zip(c.astype(np.int64)), _zip(np.rint(np.maximum(np.log10(p), -31) / STEP).astype(np.int16))))
         return pd.DataFrame(out, columns=["bucket", "chunk", "at", "c", "p"])
 
     ask = requests.select("bucket", "chunk", "at", "flat", "sizes", "per", "context").groupBy("bucket")
@@ -489,7 +511,7 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
         place, c = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         c[order] = np.concatenate([_unzip(x, np.int64) for x in got["c"]])
-        p = np.concatenate([_unzip(x, np.float32) for x in got["p"]]).astype(np.float64)
+        p = np.concatenate([_unzip(x, np.int16) for x in got["p"]]) * STEP
         row = text.iloc[0]
         n, num = np.asarray(row["n"], np.int64), _numbers(row["numbers"])
         back = _in_context(num, _unzip(row["cells"], np.int32), place)[2]
