@@ -48,8 +48,8 @@ SINGLY = 12
 #: Steps of a log10 probability that a chunk gets back.
 STEP = 1 / 1024
 #: Text bytes of a chunk; chunks per hash bucket.
-CHUNK = 12 << 20
-PER_BUCKET = 2
+CHUNK = 8 << 20
+PER_BUCKET = 3
 _SLOTS = 16
 _UNIT = 1 << 50
 _U = np.uint64
@@ -467,7 +467,8 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     chunked = cut(chunks(docs))
     buckets = max(1, chunked.count() // PER_BUCKET)
-    requests = cut(_requests(chunked, buckets))
+    # made twice rather than stored: they are as large as the chunks
+    requests = _requests(chunked, buckets)
     lexicon = cut(requests.select("bucket", "flat", "sizes", "per", "context", "learnt").groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([Words.merge(pdf).write()]), _LEXICON))
     s = lexicon.agg(F.sum("tokens"), F.sum("types")).first()
     total, types = s[0] or 0, s[1] or 0
