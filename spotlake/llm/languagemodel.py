@@ -48,8 +48,8 @@ SINGLY = 12
 #: Steps of a log10 probability that a chunk gets back.
 STEP = 1 / 1024
 #: Text bytes of a chunk; chunks per hash bucket.
-CHUNK = 8 << 20
-PER_BUCKET = 3
+CHUNK = 5 << 20
+PER_BUCKET = 5
 _SLOTS = 16
 _UNIT = 1 << 50
 _U = np.uint64
