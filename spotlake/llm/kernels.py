@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -33,6 +35,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system.  Allocators keep it, so that a worker that waits for its next task would hold the peak of its last."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 _POW = _INV = None
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import buffers, counts_by, segments, span_hash, words
+from .kernels import buffers, counts_by, release, segments, span_hash, words
 from .shared import cut, fold, table, tune
 
 ORDER = 4
@@ -240,8 +240,10 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
                 if size >= CHUNK:
                     yield flush(b.column(0).type)
                     size = 0
+                    release()
         if held:
             yield flush(held[0][5].type)
+        release()
 
     names = ["chunk", "flat", "sizes", "trained", "cells", "numbers", "doc_ids", "held_out", "n"]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
@@ -258,6 +260,13 @@ def _numbers(planes) -> np.ndarray:
     return np.stack([_unzip(x, np.uint8) for x in planes], axis=1).view("<u4").ravel().astype(np.int64)
 
 
+def _released(f, *args):
+    """f(*args), whose working memory goes back to the system."""
+    out = f(*args)
+    release()
+    return out
+
+
 def _in_context(num: np.ndarray, cell: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (word, context restaurant) of a chunk's tokens, ordered by place[word] and restaurant, and which of them each token is."""
     end = num[-1]
@@ -270,27 +279,35 @@ def _requests(chunked: DataFrame, buckets: int) -> DataFrame:
     """A chunk's dictionary by hash bucket: (bucket, chunk, at: places in the dictionary, flat, sizes, and of each word in turn: how many context
     restaurants it is in, which (as differences), and how often in training)."""
 
+    names = ["bucket", "chunk", "at", "flat", "sizes", "per", "context", "learnt"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+
+    def split(chunk, flat, sizes, cell, planes, held, n):
+        flat, sizes, cell, num = _unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64), _unzip(cell, np.int32), _numbers(planes)
+        bucket = ((_hash(flat, sizes) >> _U(20)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        word, context, back = _in_context(num, cell, place)
+        learnt = np.bincount(back[np.repeat(~np.array(held, bool), n)], minlength=len(word)).astype(np.int32)
+        del num, back
+        starts = np.cumsum(sizes) - sizes
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        per = np.bincount(word, minlength=len(order)).astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(per)])
+        for k in range(buckets):
+            lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
+            at = order[lo:hi]
+            if len(at):
+                x, y = int(upto[lo]), int(upto[hi])
+                row = [k, chunk, _zip(at.astype(np.int32)), _zip(_pick(flat, starts[at], sizes[at])), _zip(sizes[at].astype(np.int32)), _zip(per[lo:hi]), _zip(np.diff(context[x:y], prepend=np.int32(0))), _zip(learnt[x:y])]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+
     def run(batches):
         for b in batches:
-            for chunk, flat, sizes, cell, planes, held, n in zip(*[b.column(i).to_pylist() for i in range(7)]):
-                flat, sizes, cell, num = _unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64), _unzip(cell, np.int32), _numbers(planes)
-                bucket = ((_hash(flat, sizes) >> _U(20)) % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                word, context, back = _in_context(num, cell, place)
-                learnt = np.bincount(back[np.repeat(~np.array(held, bool), n)], minlength=len(word)).astype(np.int32)
-                starts = np.cumsum(sizes) - sizes
-                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-                per = np.bincount(word, minlength=len(order)).astype(np.int32)
-                upto = np.concatenate([[0], np.cumsum(per)])
-                for k in range(buckets):
-                    lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
-                    at = order[lo:hi]
-                    if len(at):
-                        x, y = int(upto[lo]), int(upto[hi])
-                        row = [k, chunk, _zip(at.astype(np.int32)), _zip(_pick(flat, starts[at], sizes[at])), _zip(sizes[at].astype(np.int32)), _zip(per[lo:hi]), _zip(np.diff(context[x:y], prepend=np.int32(0))), _zip(learnt[x:y])]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 6))], names=["bucket", "chunk", "at", "flat", "sizes", "per", "context", "learnt"])
+            for i in range(b.num_rows):
+                yield from split(*[b.column(j)[i].as_py() for j in range(7)])
+                release()
 
     rows = chunked.select("chunk", "flat", "sizes", "cells", "numbers", "held_out", "n")
     return rows.mapInArrow(run, "bucket int, chunk long, at binary, flat binary, sizes binary, per binary, context binary, learnt binary")
@@ -396,7 +413,11 @@ def _sum(lexicon: DataFrame, of, states: list[dict]) -> np.ndarray:
             known = _unpack(shared.value) if known is None else known
             for row in zip(*[b.column(i).to_pylist() for i in range(len(_WORDS))]):
                 of(Words.read(*row), known, total)
+                release()
+        known = None
         yield from give(enumerate(np.array_split(total, _SLOTS)))
+        total = None
+        release()
 
     def give(parts):
         for slot, x in parts:
@@ -411,6 +432,8 @@ def _sum(lexicon: DataFrame, of, states: list[dict]) -> np.ndarray:
                 total = held.setdefault(slot, np.zeros(size, np.int64))
                 total[_unzip(at, np.int32)] += _unzip(x, np.int64)
         yield from give(held.items())
+        held.clear()
+        release()
 
     schema = "slot int, size long, at binary, x binary"
     got = lexicon.select(*_WORDS).mapInArrow(run, schema).repartition(_SLOTS, "slot").mapInArrow(add, schema).collect()
@@ -467,9 +490,13 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     chunked = cut(chunks(docs))
     buckets = max(1, chunked.count() // PER_BUCKET)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([Words.merge(pdf).write()])
+
     # made twice rather than stored: they are as large as the chunks
     requests = _requests(chunked, buckets)
-    lexicon = cut(requests.select("bucket", "flat", "sizes", "per", "context", "learnt").groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([Words.merge(pdf).write()]), _LEXICON))
+    lexicon = cut(requests.select("bucket", "flat", "sizes", "per", "context", "learnt").groupBy("bucket").applyInPandas(lambda pdf: _released(merge, pdf), _LEXICON))
     s = lexicon.agg(F.sum("tokens"), F.sum("types")).first()
     total, types = s[0] or 0, s[1] or 0
     shared = sc.broadcast([_pack(x) for x in train(lexicon, seed)])
@@ -503,7 +530,7 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
         return pd.DataFrame(out, columns=["bucket", "chunk", "at", "c", "p"])
 
     ask = requests.select("bucket", "chunk", "at", "flat", "sizes", "per", "context").groupBy("bucket")
-    answers = ask.cogroup(lexicon.select(*_WORDS).groupBy("bucket")).applyInPandas(answer, "bucket int, chunk long, at binary, c binary, p binary")
+    answers = ask.cogroup(lexicon.select(*_WORDS).groupBy("bucket")).applyInPandas(lambda asked, known: _released(answer, asked, known), "bucket int, chunk long, at binary, c binary, p binary")
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(text: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -523,7 +550,7 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
         return pd.DataFrame({"doc_id": ids, "held_out": list(row["held_out"]), "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": total, "base_score": b, "score": q})
 
     whole = chunked.select("chunk", "cells", "numbers", "doc_ids", "held_out", "n").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return whole.applyInPandas(finish, f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole.applyInPandas(lambda text, got: _released(finish, text, got), f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
