@@ -49,7 +49,7 @@ SINGLY = 12
 STEP = 1 / 1024
 #: Text bytes of a chunk; chunks per hash bucket.
 CHUNK = 5 << 20
-PER_BUCKET = 5
+PER_BUCKET = 3
 _SLOTS = 16
 _UNIT = 1 << 50
 _U = np.uint64
@@ -361,11 +361,11 @@ class Words:
         return np.exp(term + np.bincount(owner, weights=state["logp"][cell], minlength=len(self.sizes))) if len(self.sizes) else term
 
     def play(self, states: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """After each sweep: tables of each word in each context restaurant, customers and tables of each word in the restaurant of words."""
+        """After each sweep (states as packed): tables of each word in each context restaurant, customers and tables of each word in the restaurant of words."""
         t2 = np.ones(len(self.c), np.int64)
         c1, t1 = self.per, np.ones(len(self.per), np.int64)
         out = []
-        for st in states:
+        for st in map(_unpack, states):
             rng = np.random.default_rng((st["seed"], self.bucket))
             base = self.spelt(st)
             p1 = (c1 - st["d1"] * t1 + (THETA + st["d1"] * st["tables"]) * base) / (THETA + st["customers"])
@@ -383,9 +383,8 @@ class Words:
         rest = (THETA + state["d1"] * after["tables"]) / (THETA + after["customers"])
         p1 = np.append((c1 - state["d1"] * t1) / (THETA + after["customers"]) + rest * self.spelt(state), rest * after["unknown"])
         own = np.append(self.c - state["d2"] * t2, 0)
-        share = 1 / (CONTEXT_THETA + state["c2"].astype(np.float64))
-        back = (CONTEXT_THETA + state["d2"] * after["t2"]) * share
-        return lambda word, context, pair: own[pair] * share[context] + back[context] * p1[word]
+        c2, t2, d2 = state["c2"], after["t2"], state["d2"]
+        return lambda word, context, pair: (own[pair] + (CONTEXT_THETA + d2 * t2[context].astype(np.float64)) * p1[word]) / (CONTEXT_THETA + c2[context].astype(np.float64))
 
 
 def _pack(states: list[dict]) -> list[dict]:
@@ -393,8 +392,8 @@ def _pack(states: list[dict]) -> list[dict]:
     return [{k: (_zip(v), str(v.dtype)) if isinstance(v, np.ndarray) else v for k, v in st.items()} for st in states]
 
 
-def _unpack(packed: list[dict]) -> list[dict]:
-    return [{k: _unzip(*v) if isinstance(v, tuple) else v for k, v in st.items()} for st in packed]
+def _unpack(packed: dict) -> dict:
+    return {k: _unzip(*v) if isinstance(v, tuple) else v for k, v in packed.items()}
 
 
 _LEXICON = "bucket int, flat binary, sizes binary, per binary, context binary, c binary, tokens long, types long, n1 long, n2 long, m1 long, m2 long"
@@ -408,13 +407,11 @@ def _sum(lexicon: DataFrame, of, states: list[dict]) -> np.ndarray:
     shared = lexicon.sparkSession.sparkContext.broadcast(_pack(states))
 
     def run(batches):
-        total, known = np.zeros(_SUMS, np.int64), None
+        total = np.zeros(_SUMS, np.int64)
         for b in batches:
-            known = _unpack(shared.value) if known is None else known
             for row in zip(*[b.column(i).to_pylist() for i in range(len(_WORDS))]):
-                of(Words.read(*row), known, total)
+                of(Words.read(*row), shared.value, total)
                 release()
-        known = None
         yield from give(enumerate(np.array_split(total, _SLOTS)))
         total = None
         release()
@@ -464,7 +461,7 @@ def train(lexicon: DataFrame, seed: int) -> tuple[list[dict], list[dict]]:
         np.add.at(total, CELLS + w.context, t2)
         total[-3] += t1.sum()
         total[-2] += t2.sum()
-        total[-1] += int(w.spelt(known[-1]).sum() * _UNIT)
+        total[-1] += int(w.spelt(_unpack(known[-1])).sum() * _UNIT)
 
     c2 = _sum(lexicon, first, [])[CELLS : CELLS + CONTEXTS]
     once = _sum(lexicon, open_once, [])
@@ -504,13 +501,14 @@ def score(docs: DataFrame, seed: int = 3) -> DataFrame:
 
     def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """For each chunk's words of a bucket their counts, for each word in context its averaged log10 probability."""
-        states, left = map(_unpack, shared.value)
+        states, left = shared.value
         w = Words.read(*known[_WORDS].iloc[0]) if len(known) else Words(0, *[np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.int32, np.int64)])
         plays = w.play(states) if len(w.per) else [(w.c, w.per, w.per)] * len(states)
         h = _hash(w.flat, w.sizes)
         order = np.argsort(h)
         pairs = (w.word << 32) | w.context
-        kept = [w.predictive(*x) for x in list(zip(plays, states, left))[BURN:]]
+        kept = [w.predictive(seats, _unpack(st), _unpack(after)) for seats, st, after in list(zip(plays, states, left))[BURN:]]
+        plays = w._letters = None
         out = []
         for bucket, chunk, at, flat, sizes, per, context in asked[["bucket", "chunk", "at", "flat", "sizes", "per", "context"]].itertuples(index=False):
             x = _hash(_unzip(flat, np.uint8), _unzip(sizes, np.int32).astype(np.int64))
