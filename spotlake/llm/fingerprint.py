@@ -234,7 +234,8 @@ def successors(docs: DataFrame, rank: np.ndarray) -> DataFrame:
         for b in batches:
             yield give([pairs.row(*r) for r in zip(*[b.column(i).to_pylist() for i in range(3)])], b.column(0).type)
 
-    made = cut(in_order(docs).mapInArrow(run, f"{result}, part int, place int, text string"))
+    # hexadecimal digits take half their bytes under zstd, and all of them under snappy
+    made = cut(in_order(docs).mapInArrow(run, f"{result}, part int, place int, text string"), "zstd")
     heads, tails = made.where("place = 1").select("part", F.col("text").alias("after")), made.where("place = 2").select("part", "key", "text")
     # one row a range, of which there are RANGES at most
     w = W.orderBy("part")

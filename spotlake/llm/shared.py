@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: lineage ends, a lost executor costs no recomputation.
 
     What was written is deleted when the driver ends; until then results may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spotlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
