@@ -361,22 +361,23 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     tune(docs.sparkSession)
     blank = ~F.rlike(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
     same = F.when(blank, F.lit("")).otherwise(F.col("text"))
-    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.xxhash64(row).alias("r"))
+    # a text goes along once, as the key; only one without a word is kept beside it
+    row = F.struct(*[(F.when(blank, F.col(c)) if c == "text" else F.col(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    tie = F.xxhash64(*[F.col(c) for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), tie.alias("r"))
     kept = docs.select(same.alias("__text"), order.alias("__order"), row.alias("__row")).groupBy(F.xxhash64("__text").alias("__h"), "__text")
-    kept = kept.agg(F.min("__order").alias("__order"), F.min_by("__row", "__order").alias("__row"))
+    kept = kept.agg(F.min(F.struct("__order", "__row")).alias("__first"))
     # a number of its own for every text, fixed by being written
-    first = cut(kept.select(F.monotonically_increasing_id().alias("__node"), "__order", "__row"))
+    first = cut(kept.select(F.monotonically_increasing_id().alias("__node"), "__first.__order", "__text", "__first.__row"))
     nodes = first.select("__node", "__order")
-    text = F.col(f"__row.c{docs.columns.index('text')}")
-    first = first.select("__node", text.alias("text"), "__row")
-    groups = near_groups(first.select(F.col("__node").alias("id"), "text"), k, similarity)
+    groups = near_groups(first.select(F.col("__node").alias("id"), F.col("__text").alias("text")), k, similarity)
     best = groups.join(nodes, groups["node"] == nodes["__node"]).groupBy("root").agg(F.min("__order").alias("o"))
     of_root = groups.select("root").distinct().join(nodes, F.col("root") == nodes["__node"]).select("root", F.col("__order").alias("o"))
     best = best.unionByName(of_root).groupBy("root").agg(F.min("o").alias("o"))
     members = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     gone = members.join(best, "root").join(nodes, F.col("node") == F.col("__node")).where(F.col("o") != F.col("__order")).select(F.col("node").alias("__node"))
-    return first.join(gone, "__node", "left_anti").select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    back = [F.when(F.col("__text") == "", F.col(f"__row.c{i}")).otherwise(F.col("__text")) if c == "text" else F.col(f"__row.c{i}") for i, c in enumerate(docs.columns)]
+    return first.join(gone, "__node", "left_anti").select(*[v.alias(c) for v, c in zip(back, docs.columns)])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
