@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from .observations import CALL_BAND_MODE, ORDER
 _S = 1_000_000
 EVENT = "dx_call_norm string, band string, mode string, freq_bucket_hz long, at_us long, source_id string, seq long, step int, kind string, revision long, dx_call string, freq_hz long, first_seen_us long, last_seen_us long, comment string, unique_originators int, unique_sources int, n_observations int, skim_quality string, confidence string"
 COLUMNS = [f.split()[0] for f in EVENT.split(", ")]
+ARROW = pa.schema([(name, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[kind]) for name, kind in (f.split() for f in EVENT.split(", "))])
 #: What a row must hold.
 INPUT = [*CALL_BAND_MODE, "freq_bucket_hz", *ORDER, "originator_kind", "spotter_call_norm", "dx_call", "freq_hz", "comment", "skim_quality", "passes", "text_ok", "text_cq", "row_cq"]
 
@@ -40,6 +42,18 @@ class SpotMachine:
         self.out: int | None = None
         #: rows that a rule on counts or content, or `passes`, kept from being an event
         self.dropped = 0
+        #: no entry expires before this; None where it is not known
+        self.quiet: int | None = None
+
+    def fresh(self) -> SpotMachine:
+        """An empty machine of the same settings, which are not checked again."""
+        m = SpotMachine.__new__(SpotMachine)
+        m.cfg, m.rules, m.origin, m.entries, m.out, m.dropped, m.quiet = self.cfg, self.rules, self.origin, {}, None, 0, None
+        return m
+
+    def configure(self, cfg: AggregatorConfig, rules: FilterConfig) -> None:
+        """Other settings, checked by the caller."""
+        self.cfg, self.rules, self.quiet = cfg, rules, None
 
     # -- life --
 
@@ -65,18 +79,25 @@ class SpotMachine:
 
     def tick(self, now: int) -> list[dict]:
         """Withdrawals of all ticks up to now."""
-        gone = sorted((self._due(e["last"]), b) for b, e in self.entries.items() if self._due(e["last"]) <= now)
+        if not self.entries or (self.quiet is not None and now < self.quiet):
+            return []
         out = []
-        for at, b in gone:
+        for at, b in sorted((self._due(e["last"]), b) for b, e in self.entries.items()):
+            if at > now:
+                break
             out.append(self._event(b, "Withdraw", at, None, 0))
             self.drop(b)
+        self.quiet = self.next_due()
         return out
 
     def _ingest(self, r: dict) -> dict:
-        b, new = r["freq_bucket_hz"], r["freq_bucket_hz"] not in self.entries
-        if new:
-            self.entries[b] = {"first": r["t_us"], "dx_call": r["dx_call"], "comment": None, "revision": 0, "who": set(), "humans": set(), "sources": set(), "obs": [], "emitted": None, "tag": None, "text_ok": r["text_ok"], "text_cq": r["text_cq"]}
-        e = self.entries[b]
+        b, t = r["freq_bucket_hz"], r["t_us"]
+        e = self.entries.get(b)
+        if e is None or t < e["last"]:
+            # an entry seen again expires later, so the bound stays one
+            self.quiet = self._due(t) if not self.entries else None if self.quiet is None else min(self.quiet, self._due(t))
+        if e is None:
+            e = self.entries[b] = {"first": r["t_us"], "dx_call": r["dx_call"], "comment": None, "revision": 0, "who": set(), "humans": set(), "sources": set(), "obs": [], "emitted": None, "tag": None, "text_ok": r["text_ok"], "text_cq": r["text_cq"]}
         e["revision"] += 1
         e["last"], e["freq"] = r["t_us"], r["freq_hz"]
         if r["comment"] is not None:
@@ -133,7 +154,7 @@ class SpotMachine:
     def load(self, text: str) -> SpotMachine:
         state = json.loads(text)
         self.entries = {int(b): {k: set(v) if k in ("who", "humans", "sources") else v for k, v in e.items()} for b, e in state["entries"].items()}
-        self.out = state["out"]
+        self.out, self.quiet = state["out"], None
         return self
 
 
@@ -143,6 +164,18 @@ def rows_of(pdf: pd.DataFrame) -> Iterator[dict]:
         yield dict(zip(cols, values))
 
 
+def rows_in(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The same of an Arrow batch."""
+    for values in zip(*[batch.column(c).to_pylist() for c in INPUT]):
+        yield dict(zip(INPUT, values))
+
+
+def batch_of(events: list[tuple[tuple, dict]]) -> pa.RecordBatch:
+    keys = list(zip(*[key for key, _ in events])) or [()] * 3
+    made = [*keys, *[[e[c] for _, e in events] for c in COLUMNS[3:]]]
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, ARROW)], schema=ARROW)
+
+
 def frame(events: list[tuple[tuple, dict]]) -> pd.DataFrame:
     rows = [dict(zip(CALL_BAND_MODE, key)) | e for key, e in events]
     return pd.DataFrame(rows, columns=COLUMNS).astype({"seq": "Int64"})
@@ -156,20 +189,22 @@ def events(rows: DataFrame, config: AggregatorConfig = AggregatorConfig(), rules
     if end_us is None:
         end_us = rows.agg(F.max("t_us")).first()[0] or 0
 
+    blank = SpotMachine(config, rules, origin_us)
+
     def run(batches):
         key, machine = None, None
-        for pdf in batches:
+        for batch in batches:
             out: list = []
-            for r in rows_of(pdf):
+            for r in rows_in(batch):
                 k = (r["dx_call_norm"], r["band"], r["mode"])
                 if k != key:
                     if machine:
                         out += [(key, e) for e in machine.tick(end_us)]
-                    key, machine = k, SpotMachine(config, rules, origin_us)
+                    key, machine = k, blank.fresh()
                 out += [(k, e) for e in machine.observe(r)]
-            yield frame(out)
+            yield batch_of(out)
         if machine:
-            yield frame([(key, e) for e in machine.tick(end_us)])
+            yield batch_of([(key, e) for e in machine.tick(end_us)])
 
     ordered = rows.select(*INPUT).repartition(*CALL_BAND_MODE).sortWithinPartitions(*CALL_BAND_MODE, *ORDER)
-    return ordered.mapInPandas(run, EVENT)
+    return ordered.mapInArrow(run, EVENT)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlake.functions import lines, scalar
-from spotlake.operators import lookup, observations, pipeline
+from spotlake.operators import lookup, observations, pipeline, serial
 from spotlake.operators.serial import SerialFeed
 from spotlake.operators.state import SpotMachine
 from spotlake.plans.config import AggregatorConfig, ConfigError, Content, Dedupe, FilterConfig, Patterns, Rf, SkimmerMetrics, SkimmerQuality, from_json, replace, to_json
@@ -270,6 +270,49 @@ def test_random_sequences_distributed(spark):
         assert got == sorted((kind, key[0], key[3], rev) for kind, key, rev in want)
 
 
+@pytest.mark.parametrize(("caps", "warm_us"), [((3, 100_000), 3600 * S), ((50_000, 6), 10 * S), ((2, 4), 0), ((50_000, 100_000), 0)])
+def test_slices_of_time_are_one_feed(spark, monkeypatch, caps, warm_us):
+    """Slices that begin too late run again from the right state, so that caps cut as in one run; with long warm-ups none has to."""
+    rng, played, play = random.Random(7), [], serial._slice_player
+    monkeypatch.setattr(serial, "_slice_player", lambda *a: played.append(a) or play(*a))
+    config = AggregatorConfig(dedupe=Dedupe(emit_updates=True, min_update_interval_us=30 * S), max_spots=caps[0], skimmer=SkimmerQuality(required_distinct_skimmers=2, max_tracked=caps[1]), spot_ttl_secs=120)
+    rows = _random_rows(rng, 400)
+    lines = [("s", r["seq"], r["t_us"], f"DX de {r['spotter_call_norm']}{'-1' if r['originator_kind'] == 'Skimmer' else ''}: {r['freq_hz'] / 1000:.2f} {r['dx_call']} CW 1200Z", "Auto") for r in rows]
+    obs = observations.observations(spark.createDataFrame(lines, LINE))
+    got = sorted((r["kind"], r["dx_call_norm"], r["freq_bucket_hz"], r["revision"], r["at_us"]) for r in serial.changelog(obs, config, slice_rows=40, warm_us=warm_us).collect())
+    feed, want, last = SerialFeed(config), [], max(r["t_us"] for r in rows)
+    for r in rows:
+        r["spotter_call_norm"] += "-1" if r["originator_kind"] == "Skimmer" else ""
+        want += feed.observe(r)
+    want += feed.tick(last)
+    assert got == sorted((e["kind"], k[0], e["freq_bucket_hz"], e["revision"], e["at_us"]) for k, e in want)
+    assert len(played) == 1 if warm_us == 3600 * S else len(played) > 1
+
+
+def test_what_rounds_do_not_settle_runs_in_one_task(spark):
+    """A spot that never expires carries its count through all slices."""
+    lines = [("s", i, i * 60 * S, "DX de W1AW: 7025.0 K1ABC 1200Z", "Auto") for i in range(60)]
+    obs = observations.observations(spark.createDataFrame(lines, LINE))
+    got = serial.changelog(obs, AggregatorConfig(dedupe=Dedupe(emit_updates=True)), slice_rows=5, warm_us=0).collect()
+    assert sorted(r["revision"] for r in got) == list(range(1, 61))
+
+
+def test_slices_hold_every_row_once():
+    cells = [(c, 1 + c % 7) for c in range(200) if c % 11]
+    plan = serial.slices_of(cells, 10, 25, 30)
+    assert sorted(c for c, _, warm in plan if not warm) == [c for c, _ in cells] and max(s for _, s, _ in plan) > 5
+    first = {s: min(c for c, t, warm in plan if t == s and not warm) for _, s, _ in plan}
+    assert all(first[s] - 3 <= c < first[s] for c, s, warm in plan if warm)
+
+
+def test_queues_of_a_feed_stay_small():
+    """One place for each spot, not for each row."""
+    feed = SerialFeed(AggregatorConfig(spot_ttl_secs=5, tick_secs=1))
+    for i in range(6000):
+        feed.observe(_row(i, i * S // 4, 7_043_000 + i % 40 * 400))
+    assert max(len(feed.ages), len(feed.dues)) <= 2 * feed.size + 1100
+
+
 def test_caps_that_shrink():
     feed = SerialFeed(AggregatorConfig(skimmer=SkimmerQuality(gate=False)))
     for i in range(10):
