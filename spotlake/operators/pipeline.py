@@ -21,10 +21,12 @@ def judged(obs: DataFrame, config: AggregatorConfig = AggregatorConfig(), rules:
     """
     rows = keyed(obs, config)
     if config.skimmer:
-        rows = stored(rows)
-        skims = rows.where(F.col("originator_kind") == "Skimmer").select(*quality.SKIM)
-        tags = quality.tags(skims if history is None else skims.unionByName(history), config.skimmer, config.tick_secs, origin_us).select(*ORDER, "skim_quality")
-        rows = rows.join(tags, ORDER, "left")
+        if history is None:
+            rows = quality.tagged(rows, config.skimmer, config.tick_secs, origin_us)
+        else:
+            rows = stored(rows)
+            skims = rows.where(F.col("originator_kind") == "Skimmer").select(*quality.SKIM)
+            rows = rows.join(quality.tags(skims.unionByName(history), config.skimmer, config.tick_secs, origin_us).select(*ORDER, "skim_quality"), ORDER, "left")
         gate = quality.should_emit(F.col("skim_quality"), F.col("originator_kind"), config.skimmer)
     else:
         rows, gate = rows.withColumn("skim_quality", F.lit(None).cast("string")), F.lit(True)

@@ -1,16 +1,18 @@
-"""Corroboration of skimmer reports: Valid, Qsy, Busted, Unknown, as joins and windows."""
+"""Corroboration of skimmer reports: Valid, Qsy, Busted, Unknown, over slices of time."""
 
 from __future__ import annotations
 
+from collections import deque
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalar import whole_seconds
 from ..plans.config import SkimmerQuality
 from .observations import ORDER, arrival
-from .store import stored
-from .windows import last_tick
 
 _S = 1_000_000
 
@@ -33,57 +35,113 @@ def corroboration(skims: DataFrame, cfg: SkimmerQuality = SkimmerQuality()) -> D
     return counts.withColumn("distinct_skimmers", F.col("distinct_skimmers").cast("int"))
 
 
+_TAGS = {"distinct_skimmers": ("int", pa.int32()), "previous_freq_hz": ("long", pa.int64()), "similar_call": ("string", pa.string()), "edit_distance": ("int", pa.int32()), "skim_quality": ("string", pa.string())}
+
+
 def tags(skims: DataFrame, cfg: SkimmerQuality = SkimmerQuality(), tick_secs: int = 10, origin_us: int = 0) -> DataFrame:
-    """skims(`SKIM`) with `skim_quality` and its detail: corroborating skimmers, previous verified frequency, similar call and its distance.
+    """skims(`SKIM`) with `skim_quality` and its detail: corroborating skimmers, previous verified frequency, similar call and its distance."""
+    return tagged(skims.select(*SKIM), cfg, tick_secs, origin_us)
 
-    The reports are stored once as they come and once counted; every join after that reads narrow rows.  The previous verification is looked
-    for among a call's rows of one slice of time, and if the slice has none before the row, it is the last one of the slice before: a slice is as
-    long as a verification can be visible, so a busy call is spread over its slices.
-    """
-    rows = corroboration(stored(skims.select(*SKIM)), cfg)
-    verified = (F.col("distinct_skimmers") >= cfg.required_distinct_skimmers) & F.lit(cfg.compute_valid)
-    slice_us = (2 * cfg.lookback_secs + tick_secs + 1) * _S
-    rows = stored(rows.withColumns({"_v": verified, "_part": F.floor(F.col("t_us") / slice_us)}))
-    seen = F.struct(F.col("freq_hz").alias("f"), F.col("t_us").alias("t"))
-    w = W.partitionBy("dx_call_norm", "_part").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    rest = rows.where("_v").groupBy("dx_call_norm", (F.col("_part") + 1).alias("_part")).agg(F.max_by(seen, arrival()).alias("_before"))
-    rows = rows.withColumn("_own", F.last(F.when(F.col("_v"), seen), ignorenulls=True).over(w)).join(rest, ["dx_call_norm", "_part"], "left")
-    rows = rows.withColumn("_p", F.coalesce("_own", "_before")).drop("_own", "_before", "_part")
-    tick = last_tick(F.col("t_us"), tick_secs, origin_us)
-    # a verification is forgotten only at a tick, once twice the lookback has passed
-    visible = F.coalesce(whole_seconds(tick, F.col("_p.t")) <= 2 * cfg.lookback_secs, F.lit(False))
-    moved = visible & (F.abs(F.col("freq_hz") - F.col("_p.f")) > cfg.qsy_freq_hz) & F.lit(cfg.compute_qsy)
-    rows = rows.withColumn("previous_freq_hz", F.when(visible, F.col("_p.f"))).withColumn("_moved", F.coalesce(moved, F.lit(False)))
-    if cfg.compute_busted:
-        rows = stored(rows.drop("_p"))
-        rows = rows.join(_similar(rows, cfg, tick_secs, origin_us), ORDER, "left")
-    else:
-        rows = rows.withColumns({"similar_call": F.lit(None).cast("string"), "edit_distance": F.lit(None).cast("int")})
-    tag = F.when(F.col("_v") & F.col("_moved"), "Qsy").when(F.col("_v"), "Valid").when(F.col("similar_call").isNotNull(), "Busted").otherwise("Unknown")
-    return rows.withColumn("skim_quality", tag).select(*SKIM, "distinct_skimmers", "previous_freq_hz", "similar_call", "edit_distance", "skim_quality")
-
-
-def _similar(rows: DataFrame, cfg: SkimmerQuality, tick_secs: int, origin_us: int) -> DataFrame:
-    """(`ORDER`, similar_call, edit_distance): the nearest other call whose standing verification lies close by.
-
-    A verification stands from its row to the call's next one.  It is put into the frequency bands it can reach and into every slice of its
-    standing time, which twice the lookback and a tick bound; reports look into one band and slice.
+
+def tagged(rows: DataFrame, cfg: SkimmerQuality = SkimmerQuality(), tick_secs: int = 10, origin_us: int = 0) -> DataFrame:
+    """rows(`SKIM` and others) with the columns of `tags`; where rows hold an originator_kind, those of others than skimmers are null.
+
+    One shuffle into slices of time, whose rows stream by in order.  What a row is called depends on the reports of three lookbacks and a tick at
+    most (its own reports, the verifications that still stand, and their reports), so each slice is led by that much of the slice before.
     """
-    width = max(1, cfg.busted_freq_hz)
-    slice_us = (2 * cfg.lookback_secs + tick_secs + 1) * _S
-    v = rows.where("_v").select(F.col("dx_call_norm").alias("v_call"), F.col("freq_hz").alias("v_f"), F.col("t_us").alias("v_t"), arrival().alias("v_at"), F.floor(F.col("t_us") / slice_us).alias("v_part"))
-    # the next verification counts only if it comes in this slice or the next one
-    later = v.groupBy("v_call", (F.col("v_part") - 1).alias("v_part")).agg(F.min("v_at").alias("_later"))
-    v = v.withColumn("v_next", F.lead("v_at").over(W.partitionBy("v_call", "v_part").orderBy("v_at"))).join(later, ["v_call", "v_part"], "left")
-    v = v.withColumn("v_next", F.coalesce("v_next", "_later")).drop("_later")
-    band, part = F.floor(F.col("v_f") / width), F.col("v_part")
-    v = v.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("part", F.explode(F.array(part, part + 1)))
-    ask = rows.where(~F.col("_v")).select(*ORDER, "dx_call_norm", "freq_hz", F.floor(F.col("freq_hz") / width).alias("band"), F.floor(F.col("t_us") / slice_us).alias("part"))
-    stands = (F.col("v_at") < arrival()) & (F.col("v_next").isNull() | (F.col("v_next") > arrival())) & (F.abs(F.col("freq_hz") - F.col("v_f")) <= cfg.busted_freq_hz) & (F.col("v_call") != F.col("dx_call_norm"))
-    fresh = whole_seconds(last_tick(F.col("t_us"), tick_secs, origin_us), F.col("v_t")) <= 2 * cfg.lookback_secs
-    met = ask.join(v, ["band", "part"]).where(stands & fresh).withColumn("edit_distance", F.levenshtein("v_call", "dx_call_norm", cfg.busted_max_edit)).where(F.col("edit_distance") >= 0)
-    best = met.groupBy(*ORDER).agg(F.min(F.struct("edit_distance", "v_call")).alias("b"))
-    return best.select(*ORDER, F.col("b.v_call").alias("similar_call"), F.col("b.edit_distance").alias("edit_distance"))
+    lead_us = (3 * cfg.lookback_secs + tick_secs + 2) * _S
+    width = 8 * lead_us
+    place = F.floor(F.col("t_us") / width)
+    asks = F.col("originator_kind") == "Skimmer" if "originator_kind" in rows.columns else F.lit(True)
+    late = asks & (F.pmod(F.col("t_us"), F.lit(width)) >= width - lead_us)
+    dealt = rows.withColumns({"_asks": asks, "_own": place}).withColumn("_place", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    order = dealt.withColumn("_own", F.col("_own") == F.col("_place")).repartition("_place").sortWithinPartitions("_place", *ORDER)
+    schema = StructType(rows.schema.fields + [StructField(n, StructType.fromDDL(f"c {t}")["c"].dataType) for n, (t, _) in _TAGS.items()])
+    return order.mapInArrow(_tagger(rows.columns, cfg, tick_secs, origin_us), schema)
+
+
+class Reports:
+    """The reports of a slice of time up to now: by call those of the lookback, and each call's last verification."""
+
+    def __init__(self, cfg: SkimmerQuality):
+        self.cfg, self.width = cfg, max(1, cfg.busted_freq_hz)
+        self.near: dict[str, deque] = {}
+        self.verified: dict[str, tuple[int, int]] = {}
+        #: calls by the frequency band of their verification
+        self.bands: dict[int, dict[str, int]] = {}
+
+    def tag(self, call: str, freq: int, who: str | None, t: int, tick: int) -> tuple:
+        """Record a report and say what it is, as the columns of `tags`."""
+        c = self.cfg
+        q = self.near.setdefault(call, deque())
+        old = t - (c.lookback_secs + 1) * _S
+        while q and q[0][0] <= old:
+            q.popleft()
+        q.append((t, freq, who))
+        lo, hi = freq - c.freq_window_hz, freq + c.freq_window_hz
+        n = len({w for _, f, w in q if lo <= f <= hi and w is not None})
+        # a verification is forgotten only at a tick, once twice the lookback has passed
+        gone = tick - (2 * c.lookback_secs + 1) * _S
+        before = self.verified.get(call)
+        previous = before[0] if before and before[1] > gone else None
+        if c.compute_valid and n >= c.required_distinct_skimmers:
+            band = freq // self.width
+            if before:
+                self.bands[before[0] // self.width].pop(call, None)
+            self.bands.setdefault(band, {})[call] = freq
+            self.verified[call] = (freq, t)
+            moved = c.compute_qsy and previous is not None and abs(freq - previous) > c.qsy_freq_hz
+            return n, previous, None, None, "Qsy" if moved else "Valid"
+        best = self._similar(call, freq, gone) if c.compute_busted else None
+        return (n, previous, best[1], best[0], "Busted") if best else (n, previous, None, None, "Unknown")
+
+    def _similar(self, call: str, freq: int, gone: int) -> tuple[int, str] | None:
+        """(distance, call) of the nearest other call whose standing verification lies close by."""
+        best, band = None, freq // self.width
+        for b in (band - 1, band, band + 1):
+            for v, f in list(self.bands.get(b, {}).items()):
+                if self.verified[v][1] <= gone:
+                    del self.bands[b][v], self.verified[v]
+                elif v != call and abs(f - freq) <= self.cfg.busted_freq_hz:
+                    d = edits(v, call, self.cfg.busted_max_edit)
+                    if d is not None and (best is None or (d, v) < best):
+                        best = (d, v)
+        return best
+
+
+@lru_cache(maxsize=1 << 16)
+def edits(a: str, b: str, most: int) -> int | None:
+    """Edit distance of two calls if it is `most` at most, else None."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = row[:]
+        row[0] = i
+        for j, y in enumerate(b, 1):
+            row[j] = min(left[j] + 1, row[j - 1] + 1, left[j - 1] + (x != y))
+    return row[-1] if row[-1] <= most else None
+
+
+def _tagger(columns: list[str], cfg: SkimmerQuality, tick_secs: int, origin_us: int):
+    none = (None,) * len(_TAGS)
+
+    def run(batches):
+        place = reports = None
+        for batch in batches:
+            marks = ("_place", "_own", "_asks", "dx_call_norm", "freq_hz", "spotter_call_norm", "t_us")
+            made = []
+            for p, own, asks, call, freq, who, t in zip(*[batch.column(c).to_pylist() for c in marks]):
+                if p != place:
+                    place, reports = p, Reports(cfg)
+                got = reports.tag(call, freq, who, t, t - (t - origin_us) % (tick_secs * _S)) if asks else none
+                if own:
+                    made.append(got)
+            kept = batch.filter(batch.column("_own")).select(columns)
+            values = list(zip(*made)) or [()] * len(_TAGS)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(v, kind) for v, (_, kind) in zip(values, _TAGS.values())]], names=[*columns, *_TAGS])
+
+    return run
 
 
 def should_emit(tag: Column, kind: Column, cfg: SkimmerQuality = SkimmerQuality()) -> Column:

@@ -22,25 +22,13 @@ from pyspark.sql import functions as F
 from ..plans.config import AggregatorConfig, FilterConfig, SkimmerQuality
 from .observations import ORDER
 from .pipeline import judged
+from .quality import edits
 from .state import ARROW, COLUMNS, EVENT, SpotMachine, batch_of, frame, needed, rows_in, rows_of
 from .store import stored
 
 _S = 1_000_000
 
 
-def edits(a: str, b: str, most: int) -> int | None:
-    """Edit distance of two calls if it is `most` at most, else None."""
-    if abs(len(a) - len(b)) > most:
-        return None
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left = row[:]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            row[j] = min(left[j] + 1, row[j - 1] + 1, left[j - 1] + (x != y))
-    return row[-1] if row[-1] <= most else None
-
-
 def whole(us: int) -> int:
     """Whole seconds, cut towards zero."""
     return us // _S if us >= 0 else -(-us // _S)

@@ -285,10 +285,8 @@ def _content(spark: SparkSession, sf: str) -> DataFrame:
 def _same_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Three sources that number their lines alike, in threes that arrive at once."""
     rows = obs(spark, sf).withColumns({"t_us": F.lit(START) + F.floor(F.col("seq") / 3) * 3 * STEP, "seq": F.floor(F.col("seq") / 3)})
-    rows = observations.keyed(rows)
-    state = windows.running(windows.incarnations(rows)).select(*observations.ROW, "revision", "unique_originators", "last_comment")
-    tags = quality.tags(rows.where("originator_kind = 'Skimmer'"))
-    return state.join(tags.select(*observations.ROW, "skim_quality", "distinct_skimmers"), observations.ROW, "left")
+    rows = quality.tagged(observations.keyed(rows))
+    return windows.running(windows.incarnations(rows)).select(*observations.ROW, "revision", "unique_originators", "last_comment", "skim_quality", "distinct_skimmers")
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,9 +8,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from spotlake import queries
 from spotlake.functions import lines, scalar
-from spotlake.operators import lookup, observations, pipeline, serial
-from spotlake.operators.serial import SerialFeed
+from spotlake.operators import lookup, observations, pipeline, quality, serial
+from spotlake.operators.serial import Corroboration, SerialFeed
 from spotlake.operators.state import SpotMachine
 from spotlake.plans.config import AggregatorConfig, ConfigError, Content, Dedupe, FilterConfig, Patterns, Rf, SkimmerMetrics, SkimmerQuality, from_json, replace, to_json
 from spotlake.plans.patterns import compile_set, glob, regex
@@ -163,6 +164,40 @@ def test_numbers_are_unique_within_a_source_only(spark):
     assert len(got) == 40 and len({(r["source_id"], r["seq"]) for r in got}) == 40
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_takes_one_shuffle_and_no_join(spark):
+    """A busy call's reports are met in passing: none is joined with its neighbours."""
+    obs = observations.observations(spark.createDataFrame([("s", 0, 0, "DX de SK1-1: 7025.0 K1ABC CW 1200Z", "Auto")], LINE))
+    plan = _plan(pipeline.judged(obs, AggregatorConfig(skimmer=SkimmerQuality())))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_quality_of_all_sources_needs_no_join(spark):
+    assert "Join" not in _plan(queries._same_numbers(spark, "/root/testdata/sf0.001"))
+
+
+def test_tags_where_slices_meet(spark):
+    """Reports at either side of every slice's edge see each other, and verifications reach as far as they stand."""
+    cfg = SkimmerQuality(required_distinct_skimmers=2, lookback_secs=30)
+    edge = 8 * (3 * 30 + 12) * S
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        t = edge * (1 + i // 100) + rng.randrange(-110, 110) * S
+        rows.append((t, "s", i, rng.choice(["K1AB", "K1AC", "W9XX"]), rng.choice([7_043_000, 7_043_050, 7_044_000]), f"S{rng.randrange(5)}"))
+    skims = spark.createDataFrame(rows, "t_us long, source_id string, seq long, dx_call_norm string, freq_hz long, spotter_call_norm string")
+    got = {r["seq"]: r["skim_quality"] for r in quality.tags(skims, cfg).collect()}
+    one, want, clock = Corroboration(cfg), {}, None
+    for t, _, i, call, f, who in sorted(rows):
+        if clock != t // (10 * S):
+            clock = t // (10 * S)
+            one.tick(clock * 10 * S)
+        want[i] = one.tag(call, f, who, t)
+    assert got == want and len(set(want.values())) == 4
+
+
 # ---- a plain model of the whole feed, one row after the other ----
 
 
